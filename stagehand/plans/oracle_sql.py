@@ -11,7 +11,8 @@ from ..functions.casts import DATE_RE, DATETIME_RE, FLOAT_RE, HEX_RE, INT_RE
 def q_int(x: str) -> str:
     t = f"trim({x})"
     return (f"(CASE WHEN regexp_matches({t}, '{INT_RE}') THEN TRY_CAST({t} AS BIGINT) "
-            f"WHEN regexp_matches({t}, '{HEX_RE}') THEN TRY_CAST({t} AS BIGINT) END)")
+            f"WHEN regexp_matches({t}, '{HEX_RE}') THEN (CASE WHEN starts_with({t}, '-') THEN -1 ELSE 1 END) "
+            f"* TRY_CAST(regexp_replace({t}, '^[+-]', '') AS BIGINT) END)")
 
 
 def q_double(x: str) -> str:

@@ -11,10 +11,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "stagehand") -> SparkSession:
+                  app_name: str = "stagehand", checkpoint_dir: str | None = None) -> SparkSession:
     """Local session used by tests and bench. A cluster job gets its session from
-    the cluster; nothing here is required for correctness."""
-    spark = (
+    the cluster (and its shared ``spark.checkpoint.dir``); nothing here is
+    required for correctness."""
+    b = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,8 +24,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("STAGEHAND_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        b = b.config(CHECKPOINT_CONF, checkpoint_dir)
+    spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -32,19 +35,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is read, never
-    overridden. Only when it is unset (local tests) do we create one.
+    On a cluster that setting points at shared storage and is only read. Only
+    when nothing is configured (a local test run) is a folder created and set
+    as the context's checkpoint directory.
     """
-    conf = spark.conf.get(CHECKPOINT_CONF, None)
-    if not conf:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = jdir.get() if jdir.isDefined() else None
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    conf = sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="stagehand-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, conf)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,0 +1,90 @@
+"""Guarded casts and null rules, checked against the DuckDB snippets too."""
+import math
+
+import duckdb
+from pyspark.sql import functions as F
+
+from stagehand.functions import (blank, flag, int_nonblank, safe_date, safe_datetime, safe_double,
+                                 safe_int, safe_rank, safe_rating, truncate)
+from stagehand.plans.oracle_sql import q_date, q_datetime, q_double, q_flag, q_int
+
+CASES = ["7", " 8 ", "-3", "+4", "7.5", "7.00", "1e3", "0x1A", "-0x1A", "N/A", "", None, "abc",
+         "2017-12-20", "2017-12", "2017", "2017-02-30", "2016-05-31 22:30:02", "2016-05-31T22:30:02.5",
+         "inf", "-inf", "NaN", "1.0f", "Not Ranked", "1", "0", "2", ".5", "5."]
+
+
+def _spark_vals(spark, fn):
+    df = spark.createDataFrame([(c,) for c in CASES], "s string")
+    return [r[0] for r in df.select(fn("s")).collect()]
+
+
+def _duck_vals(snippet):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(CASES)))
+    return [r[0] for r in con.execute(f"SELECT {snippet('s')} FROM t ORDER BY i").fetchall()]
+
+
+def _same(a, b):
+    if a is None or b is None:
+        return a is None and b is None
+    if isinstance(a, float) and math.isnan(a):
+        return isinstance(b, float) and math.isnan(b)
+    return a == b
+
+
+def test_safe_int_shapes(spark):
+    got = dict(zip(CASES, _spark_vals(spark, safe_int)))
+    assert got["7"] == 7 and got[" 8 "] == 8 and got["-3"] == -3 and got["+4"] == 4
+    assert got["7.5"] is None and got["7.00"] is None and got["1e3"] is None  # stricter than try_cast in DuckDB
+    assert got["0x1A"] == 26 and got["-0x1A"] == -26
+    assert got["N/A"] is None and got[""] is None and got[None] is None and got["abc"] is None
+
+
+def test_safe_double_and_rating(spark):
+    got = dict(zip(CASES, _spark_vals(spark, safe_double)))
+    assert got["7.5"] == 7.5 and got["1e3"] == 1000.0 and got[".5"] == 0.5 and got["5."] == 5.0
+    assert got["1.0f"] is None                       # Spark's try_cast would accept this
+    assert got["inf"] == float("inf") and got["-inf"] == float("-inf") and math.isnan(got["NaN"])
+    rating = dict(zip(CASES, _spark_vals(spark, safe_rating)))
+    assert rating["N/A"] is None and rating[""] is None  # missing rating is NULL, never 0
+    assert rating["7.5"] == 7.5
+
+
+def test_dates(spark):
+    d = dict(zip(CASES, _spark_vals(spark, safe_date)))
+    assert str(d["2017-12-20"]) == "2017-12-20"
+    assert d["2017-12"] is None and d["2017"] is None and d["2017-02-30"] is None
+    assert d["2016-05-31 22:30:02"] is None           # a datetime is not a date
+    ts = dict(zip(CASES, _spark_vals(spark, safe_datetime)))
+    assert str(ts["2016-05-31 22:30:02"]) == "2016-05-31 22:30:02"
+    assert ts["2016-05-31T22:30:02.5"] is not None and ts["2017-12"] is None
+
+
+def test_flags_three_valued(spark):
+    f = dict(zip(CASES, _spark_vals(spark, flag)))
+    assert f["1"] is True and f["0"] is False and f["2"] is False
+    assert f[""] is None and f[None] is None and f["abc"] is None
+    nb = dict(zip(CASES, _spark_vals(spark, int_nonblank)))
+    assert nb[""] is None and nb["2"] == 2
+
+
+def test_not_ranked(spark):
+    r = dict(zip(CASES, _spark_vals(spark, safe_rank)))
+    assert r["Not Ranked"] is None and r["7"] == 7
+
+
+def test_blank_and_truncate(spark):
+    df = spark.createDataFrame([("",), (None,), (" ",), ("x" * 300,)], "s string")
+    got = df.select(blank("s").alias("b"), F.length(truncate("s")).alias("n")).collect()
+    assert [r.b for r in got] == [True, True, False, False]
+    assert got[3].n == 200
+
+
+def test_oracle_snippets_agree(spark):
+    pairs = [(safe_int, q_int), (safe_double, q_double), (safe_date, q_date),
+             (safe_datetime, q_datetime), (flag, q_flag)]
+    for sfn, qfn in pairs:
+        s_vals, d_vals = _spark_vals(spark, sfn), _duck_vals(qfn)
+        for case, a, b in zip(CASES, s_vals, d_vals):
+            assert _same(a, b), (sfn.__name__, case, a, b)

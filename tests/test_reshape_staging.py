@@ -1,0 +1,94 @@
+"""Adapters, wide → long links, staging rules, link views, clustered layout."""
+import glob
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from stagehand.operators import reshape, staging
+from stagehand.schemas import RAW_FIELDS, raw_schema
+import pytest
+
+
+def test_raw_schema_registry():
+    assert [f.name for f in raw_schema("item_link").fields] == ["objectid", "link_type", "ref_id", "value"]
+    assert all(f.dataType.simpleString() == "string" for f in raw_schema("user_item").fields)
+    with pytest.raises(ValueError):
+        raw_schema("no_such_table")
+
+
+def test_adapters(spark):
+    legacy_users = spark.createDataFrame([("u1", "Ann", "2014", "2017-12-20", "RO", "", "0", "http://x")],
+                                         "user_id string, firstname string, yearregistered string, lastlogin string,"
+                                         " country string, stateorprovince string, traderating string, webaddress string")
+    u = reshape.adapt_user_info(legacy_users)
+    assert u.columns == RAW_FIELDS["user_info"]                  # personal columns dropped
+    legacy_ui = spark.createDataFrame([("u1", "10", "Game", "7", "3", "nice")],
+                                      "user_id string, objectid string, name string, user_rating string,"
+                                      " numplays string, comment string")
+    ui = reshape.adapt_user_item(legacy_ui).first()
+    assert ui.own == "1" and ui.wishlist == "" and ui.user_rating == "7"
+
+
+def test_unpivot_links(spark):
+    df = spark.createDataFrame([
+        ("10", "[('1050', 'Ancient'), ('1022', 'Adventure')]", "[('2001', 'Dice')]", "", "[('9', 'x', 'y')]"),
+        ("11", "[]", None, "[('7', \"Tom's\")]", "[('1', 'a')"),
+    ], "objectid string, category string, mechanic string, designer string, artist string")
+    details, links = reshape.adapt_item_details(df.withColumn("name", F.lit("n")).withColumn("minage", F.lit("8"))
+                                                .withColumn("description", F.lit("d")).withColumn("avg_weights", F.lit("2")))
+    got = sorted((r.objectid, r.link_type, r.ref_id, r.value) for r in links.collect())
+    assert got == [("10", "boardgamecategory", "1022", "Adventure"), ("10", "boardgamecategory", "1050", "Ancient"),
+                   ("10", "boardgamemechanic", "2001", "Dice"), ("11", "boardgamedesigner", "7", "Tom's")]
+    assert details.columns == RAW_FIELDS["item_details"] and details.first().yearpublished == ""
+
+
+def test_stage_user_item_rules(spark):
+    raw = spark.createDataFrame([
+        ("u", "1", "N/A", "0", None, "1", "0", None, "", "", "", "1", "3", "", "2016-05-31 22:30:02"),
+        ("u", "2", None, "5", "hi", "1", "", "", "", "", "", "", "", "", None),
+    ], raw_schema("user_item"))
+    rows = staging.stage_table(raw, "user_item").orderBy("objectid").collect()
+    assert rows[0].user_rating is None and rows[1].user_rating is None   # not rated ≠ 0
+    assert rows[0].own is True and rows[0].prevowned is False and rows[0].fortrade is None
+    assert rows[0].wishlist is True and rows[0].wishlistpriority == 3
+    assert str(rows[0].lastmodified) == "2016-05-31 22:30:02" and rows[1].lastmodified is None
+    assert rows[1].numplays == 5
+
+
+def test_stage_item_details_fills_year(spark):
+    info_raw = spark.createDataFrame([("1", "A", "1999", "", "", "", "", "", "", "", "", "", "Not Ranked")],
+                                     raw_schema("item_info"))
+    info = staging.stage_table(info_raw, "item_info")
+    assert info.first().rank is None
+    det = spark.createDataFrame([("1", "A", "", "8", "d", "2.5"), ("2", "B", "2001", "x", "d", "")],
+                                raw_schema("item_details"))
+    rows = {r.objectid: r for r in staging.stage_item_details(det, info).collect()}
+    assert rows["1"].yearpublished == 1999 and rows["1"].avg_weights == 2.5
+    assert rows["2"].yearpublished == 2001 and rows["2"].minage is None   # kept although unmatched
+
+
+def test_link_views(spark):
+    stg = spark.createDataFrame([("1", "boardgamecategory", 5, "Dice"), ("1", "boardgamemechanic", 6, "Roll"),
+                                 ("2", "boardgamefamily", 7, "F")], "objectid string, link_type string, ref_id bigint, value string")
+    views = staging.register_link_views(stg)
+    assert views["item_category"].columns == ["objectid", "category_id", "category"]
+    assert views["item_mechanic"].count() == 1
+    assert spark.sql("SELECT count(*) FROM item_designer").first()[0] == 0
+    renamed = staging.rename_columns(spark.createDataFrame([(1,)], "rating_cnt int"), {"rating_cnt": "usersrated"})
+    assert renamed.columns == ["usersrated"]
+
+
+def test_cluster_splits_hot_key(spark, tmp_dir):
+    # one key holds half of all rows: range clustering on (key, hash) spreads it over files
+    df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                   F.col("id").alias("v"))
+    staging.write_clustered(df, tmp_dir + "/t", "k", 8)
+    files = sorted(glob.glob(tmp_dir + "/t/*.parquet"))
+    with_hot = 0
+    for f in files:
+        t = pq.read_table(f)
+        ks = t.column("k").to_pylist()
+        assert ks == sorted(ks)
+        with_hot += 7 in ks
+    assert with_hot >= 3
+    assert spark.read.parquet(tmp_dir + "/t").count() == 20000
