@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread
 from ..schemas import RAW_FIELDS, STATUS_FLAG_KEYS
 
 _V = "struct<_value:string>"
@@ -55,6 +56,16 @@ def _dflt(c: Column, default: str = "") -> Column:
     return F.coalesce(c, F.lit(default))
 
 
+def _explode_parsed(df: DataFrame, keep: list, arr: Column, name: str) -> DataFrame:
+    """One row per element of a parsed array.
+
+    ``explode`` would make the optimizer infer ``size(arr) > 0`` and push it below
+    the parse, running ``from_xml`` twice per row; ``explode_outer`` plus a filter
+    on the generated column (which cannot move below the generator) parses once.
+    """
+    return df.select(*keep, F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
+
+
 def xml_escape(c: Column) -> Column:
     """Escape text for an XML attribute or element (used when rendering pages)."""
     s = F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;"))
@@ -68,7 +79,7 @@ def xml_escape(c: Column) -> Column:
 def parse_user_pages(df: DataFrame, xml_col: str, user_id_col: str) -> DataFrame:
     """One user page per row → raw user_info rows."""
     u = F.from_xml(F.col(xml_col), USER_SCHEMA).alias("u")
-    p = df.select(F.col(user_id_col).cast("string").alias("user_id"), u)
+    p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"), u)
     return p.select("user_id", *[_dflt(F.col(f"u.{c}._value")).alias(c)
                                  for c in RAW_FIELDS["user_info"][1:]])
 
@@ -92,10 +103,10 @@ def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFra
         _dflt(it["description"]).alias("description"),
         _dflt(r["averageweight"]["_value"]).alias("avg_weights"))
     stats = items.select(oid, *[_dflt(r[t]["_value"]).alias(t) for t in RAW_FIELDS["item_stats"][1:]])
-    links = items.select(oid, F.explode(it["link"]).alias("l")).select(
+    links = _explode_parsed(items.select(oid, it["link"].alias("_l")), ["objectid"], F.col("_l"), "l").select(
         "objectid", _dflt(F.col("l._type")).alias("link_type"),
         _dflt(F.col("l._id")).alias("ref_id"), _dflt(F.col("l._value")).alias("value"))
-    ranks = items.select(oid, F.explode(r["ranks"]["rank"]).alias("k")).select(
+    ranks = _explode_parsed(items.select(oid, r["ranks"]["rank"].alias("_k")), ["objectid"], F.col("_k"), "k").select(
         "objectid", _dflt(F.col("k._type")).alias("rank_type"),
         _dflt(F.col("k._friendlyname")).alias("friendlyname"),
         _dflt(F.col("k._value")).alias("value"), _dflt(F.col("k._bayesaverage")).alias("bayesaverage"))
@@ -104,7 +115,7 @@ def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFra
 
 def thing_items_from_strings(df: DataFrame, xml_col: str) -> DataFrame:
     """One ``<item>`` document per row → struct column ``item``."""
-    return df.select(F.from_xml(F.col(xml_col), THING_SCHEMA).alias("item"))
+    return spread(df).select(F.from_xml(F.col(xml_col), THING_SCHEMA).alias("item"))
 
 
 def read_thing_files(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +134,14 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
     friendlyname attribute; ``numplays`` defaults to "0".
     """
     it = F.col(item_col)
-    src = items if subtype is None else items.where(it["_subtype"] == F.lit(subtype))
+    if subtype is None:
+        src = items
+    else:
+        # keep-or-drop through a generator, not a Filter: a Filter would be pushed
+        # below the parse and evaluate from_xml a second time per row
+        others = [c for c in items.columns if c != item_col]
+        src = _explode_parsed(items, others, F.filter(F.array(it), lambda x: x["_subtype"] == F.lit(subtype)),
+                              item_col)
     st = it["stats"]
     rating = st["rating"]
     first_rank = F.get(F.filter(rating["ranks"]["rank"], lambda k: k["_friendlyname"].isNotNull()), 0)
@@ -146,19 +164,19 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
 
 
 def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA).alias("item"))
+    return spread(df).select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA).alias("item"))
 
 
 # --- S12 plays pages ---------------------------------------------------------------------
 
 def parse_plays_pages(df: DataFrame, xml_col: str, user_id_col: str) -> tuple[DataFrame, DataFrame]:
     """Plays pages → (user_play rows, per-page (user_id, page, rows, total))."""
-    p = df.select(F.col(user_id_col).cast("string").alias("user_id"),
-                  F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA).alias("pg"))
+    p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"),
+                          F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA).alias("pg"))
     pages = p.select("user_id", F.col("pg._page").cast("int").alias("page"),
                      F.coalesce(F.size(F.col("pg.play")), F.lit(0)).alias("rows"),
                      F.coalesce(F.col("pg._total").try_cast("bigint"), F.lit(0)).alias("total"))
-    plays = p.select("user_id", F.explode(F.col("pg.play")).alias("x")).select(
+    plays = _explode_parsed(p, ["user_id"], F.col("pg.play"), "x").select(
         _dflt(F.col("x._id")).alias("play_id"), "user_id",
         _dflt(F.col("x.item._objectid")).alias("objectid"),
         _dflt(F.col("x._date")).alias("play_date"), _dflt(F.col("x._quantity")).alias("quantity"),
