@@ -195,13 +195,15 @@ def latest_per_key(df: DataFrame, key: str, order_cols: Sequence[str], keep: Seq
 def join_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Share of left rows with at least one match on the right.
 
-    The right side is reduced to distinct keys (map-side) and joined with a left
-    semi-style flag via a left join on distinct keys — left rows are never
-    multiplied by duplicate right keys.
+    Both sides are reduced to per-key rows map-side (left: key counts, right:
+    distinct keys) before the join, so a key holding a third of the left rows
+    travels as one row per task, and left rows are never multiplied by duplicate
+    right keys. A NULL key never matches.
     """
+    lk = left.groupBy(key).agg(F.count(_one()).alias("_n"))
     rk = right.select(key).distinct().withColumn("_m", F.lit(True))
-    j = left.select(key).join(rk, on=key, how="left")
-    total = F.count(_one())
-    matched = F.count_if(F.col("_m"))
+    j = lk.join(rk, on=key, how="left")
+    total = F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint")
+    matched = F.coalesce(F.sum(F.when(F.col("_m"), F.col("_n"))), F.lit(0)).cast("bigint")
     return j.agg(total.alias("total"), matched.alias("matched"),
                  (total - matched).alias("unmatched"), rate(matched, total).alias("coverage"))
