@@ -22,6 +22,17 @@ MAX_RETRIES = 5
 BACKOFF_CAP_S = 30
 
 
+def append_unit_rows(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
+    """Append a unit of work's rows (S13): new partitions only, replay-safe.
+
+    Rows are written under ``batch_col=<id>`` with dynamic partition overwrite:
+    the first write of a batch appends it, a re-run of the same batch replaces
+    only its own partition, so a crash between rows and ledger never duplicates.
+    """
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(batch_col).parquet(path))
+
+
 def todo_ids(candidates: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
     """Work list = candidates − done − failed (J5), as one anti join.
 

@@ -72,3 +72,12 @@ def test_progress(spark):
     r = ing.progress(sample, done, excl, "u", dur, "seconds").first()
     assert (r.sampled, r.processed, r.excluded, r.remaining) == (10, 3, 1, 6)
     assert r.sec_per_unit == 15.0 and r.eta_seconds == 90.0
+
+
+def test_append_unit_rows_is_replay_safe(spark, tmp_dir):
+    b1 = spark.createDataFrame([("u1", 1, 7), ("u1", 2, 7)], "user_id string, pos int, batch_id int")
+    b2 = spark.createDataFrame([("u2", 1, 8)], "user_id string, pos int, batch_id int")
+    ing.append_unit_rows(b1, tmp_dir + "/rows")
+    ing.append_unit_rows(b2, tmp_dir + "/rows")
+    ing.append_unit_rows(b1, tmp_dir + "/rows")              # the same unit replayed after a crash
+    assert spark.read.parquet(tmp_dir + "/rows").count() == 3

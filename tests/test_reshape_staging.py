@@ -92,3 +92,10 @@ def test_cluster_splits_hot_key(spark, tmp_dir):
         with_hot += 7 in ks
     assert with_hot >= 3
     assert spark.read.parquet(tmp_dir + "/t").count() == 20000
+
+
+def test_create_table_as_clustered(spark, tmp_dir):
+    df = spark.range(1000).select((F.col("id") % 13).alias("objectid"), F.col("id").alias("v"))
+    staging.create_table_as(spark, df, "stg_test_ctas", path=tmp_dir + "/ctas", cluster_key="objectid", partitions=4)
+    staging.create_table_as(spark, df, "stg_test_ctas", path=tmp_dir + "/ctas", cluster_key="objectid", partitions=4)
+    assert spark.table("stg_test_ctas").count() == 1000          # replace, not append
