@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import LINK_COLUMN_TO_TYPE, parse_pair_list, parse_string_list
 from ..schemas import RAW_FIELDS
+from .partitioning import spread
 
 
 def conform(df: DataFrame, fields: Sequence[str], fill: str | None = "",
@@ -59,7 +60,8 @@ def unpivot_links(df: DataFrame, id_col: str = "objectid",
     if not present:
         return df.sparkSession.createDataFrame([], "objectid string, link_type string, ref_id string, value string")
     type_of = F.create_map(*[x for c in present for x in (F.lit(c), F.lit(mapping[c]))])
-    long = df.select(F.col(id_col).cast("string").alias("objectid"),
+    # the cell parse is regex work per row: use every core even on a one-split input
+    long = spread(df).select(F.col(id_col).cast("string").alias("objectid"),
                      *[F.col(c).cast("string").alias(c) for c in present]) \
              .unpivot(["objectid"], present, "_col", "_cell")
     parsed = long.select("objectid", F.element_at(type_of, F.col("_col")).alias("link_type"),

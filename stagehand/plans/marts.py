@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import rate
 from ..operators.sampling import wilson_interval
+from ..session import shared_dir
 
 def _one():
     return F.lit(1)
@@ -33,14 +34,19 @@ def ordered_funnel(events: DataFrame, user: str, stage_col: str, ts_col: str,
     joins the per-user table of the previous step (one row per user) and takes
     a per-user ``min`` (partial aggregate). Output: one row per stage with users,
     conversion from the previous stage, and drop-off.
+
+    The per-user table of each stage is checkpointed to the shared checkpoint
+    folder, so stage k scans only its own events instead of replaying stages
+    1..k-1 (the plan would otherwise grow quadratically with the stage count).
     """
+    shared_dir(events.sparkSession)          # make sure a reliable checkpoint folder is set
     reached = None
     counts = []
     for k, stage in enumerate(stages):
         ev = events.where(F.col(stage_col) == F.lit(stage)).select(user, F.col(ts_col).alias("_ts"))
         if reached is not None:
             ev = ev.join(reached, on=user).where(F.col("_ts") >= F.col("_prev"))
-        reached = ev.groupBy(user).agg(F.min("_ts").alias("_prev"))
+        reached = ev.groupBy(user).agg(F.min("_ts").alias("_prev")).checkpoint(eager=True)
         counts.append(reached.agg(F.count(_one()).alias("users"))
                              .select(F.lit(k + 1).alias("stage_no"), F.lit(stage).alias("stage"), "users"))
     out = counts[0]
