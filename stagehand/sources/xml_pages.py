@@ -126,12 +126,17 @@ def read_thing_files(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S11 collection items ---------------------------------------------------------------
 
-def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "item",
-                           subtype: str | None = "boardgame") -> tuple[DataFrame, DataFrame]:
-    """Parsed collection items → (item_info, user_item) raw rows (S11 + P6).
+_USER_ITEM_ONLY = [c for c in RAW_FIELDS["user_item"] if c not in ("user_id", "objectid")]
+
+
+def flatten_collection_items(items: DataFrame, user_id_col: str, item_col: str = "item",
+                             subtype: str | None = "boardgame") -> DataFrame:
+    """Parsed collection items → one flat row per kept item (S11 + P6):
+    ``user_id`` + the item_info fields + the user_item fields.
 
     Only ``subtype`` items are kept. ``rank`` is the first rank carrying a
-    friendlyname attribute; ``numplays`` defaults to "0".
+    friendlyname attribute; ``numplays`` defaults to "0". One projection feeds
+    both raw tables, so a landing job writes this once.
     """
     it = F.col(item_col)
     if subtype is None:
@@ -145,22 +150,33 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
     st = it["stats"]
     rating = st["rating"]
     first_rank = F.get(F.filter(rating["ranks"]["rank"], lambda k: k["_friendlyname"].isNotNull()), 0)
-    oid = _dflt(it["_objectid"]).alias("objectid")
-    item_info = src.select(
-        oid, _dflt(it["name"]["_VALUE"]).alias("name"), _dflt(it["yearpublished"]).alias("yearpublished"),
+    return src.select(
+        F.col(user_id_col).cast("string").alias("user_id"),
+        _dflt(it["_objectid"]).alias("objectid"),
+        _dflt(it["name"]["_VALUE"]).alias("name"), _dflt(it["yearpublished"]).alias("yearpublished"),
         *[_dflt(st[f"_{a}"]).alias(a) for a in _STAT_ATTRS],
         _dflt(rating["average"]["_value"]).alias("average"),
         _dflt(rating["bayesaverage"]["_value"]).alias("bayesaverage"),
         _dflt(rating["stddev"]["_value"]).alias("stddev"),
-        _dflt(first_rank["_value"]).alias("rank"))
-    item_info = item_info.select(*RAW_FIELDS["item_info"])
-    user_item = src.select(
-        F.col(user_id_col).cast("string").alias("user_id"), oid,
+        _dflt(first_rank["_value"]).alias("rank"),
         _dflt(rating["_value"]).alias("user_rating"),
         F.coalesce(F.nullif(it["numplays"], F.lit("")), F.lit("0")).alias("numplays"),
         _dflt(it["comment"]).alias("comment"),
         *[_dflt(it["status"][f"_{k}"]).alias(k) for k in STATUS_FLAG_KEYS])
-    return item_info, user_item
+
+
+def split_collection_rows(flat: DataFrame, keep_unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Flat collection rows → (item_info, user_item) raw rows. With ``keep_unit``
+    the item rows also carry ``user_id``, so a first-seen rule can pick one per item."""
+    item_info = flat.select(*(["user_id"] if keep_unit else []), *RAW_FIELDS["item_info"])
+    return item_info, flat.select(*RAW_FIELDS["user_item"])
+
+
+def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "item",
+                           subtype: str | None = "boardgame",
+                           keep_unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parsed collection items → (item_info, user_item) raw rows (S11 + P6)."""
+    return split_collection_rows(flatten_collection_items(items, user_id_col, item_col, subtype), keep_unit)
 
 
 def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str]) -> DataFrame:
