@@ -43,6 +43,17 @@ def todo_ids(candidates: DataFrame, done: DataFrame, failed: DataFrame, key: str
     return candidates.join(finished, on=key, how="left_anti")
 
 
+def requested_not_returned(requested: DataFrame, returned: DataFrame, key: str,
+                           batch_col: str | None = None) -> DataFrame:
+    """Ids asked for in a batch request but absent from its response.
+
+    A batch answered with 200 can silently omit ids; this anti join reports them
+    (per batch when ``batch_col`` is given) instead of marking them done.
+    """
+    on = [key] if batch_col is None else [batch_col, key]
+    return requested.select(*on).join(returned.select(*on).distinct(), on=on, how="left_anti")
+
+
 def triage(status: Column, attempt: Column, retry_after: Column | None = None,
            body_ok: Column | None = None, max_retries: int = MAX_RETRIES) -> Column:
     """Outcome of one response (U3) → struct(state, wait_s, reason).

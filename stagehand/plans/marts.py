@@ -131,17 +131,25 @@ def wish_vs_play(items: DataFrame, key: str, plays: str, wishing: str,
 
 # --- D5 / D6 segments ---------------------------------------------------------------------
 
-def tertile_segments(per_user: DataFrame, user: str, total: str) -> DataFrame:
-    """Light/medium/heavy by exact tertile cut points of a per-user total (D5; ours).
-
-    The cut points come from Spark's exact ``percentile`` (linear interpolation),
-    whose buffer is a value→count map merged map-side, so only distinct totals
-    travel. Users with equal totals always share a segment.
+def tertile_segments(per_user: DataFrame, user: str, total: str,
+                     max_exact_values: int = 1_000_000, accuracy: int = 100_000) -> DataFrame:
+    """Light/medium/heavy by tertile cut points of a per-user total (D5; ours).
+
+    Cut points are exact (Spark's ``percentile``, linear interpolation) when the
+    totals have at most ``max_exact_values`` distinct values: its buffer is a
+    value→count map merged map-side, so only distinct totals travel (play
+    counts have few). Above that bound the single final merge would grow with
+    the data, so ``percentile_approx`` (bounded sketch, ``accuracy``) is used
+    instead. Users with equal totals always share a segment.
     """
-    q = per_user.agg(F.percentile(F.col(total).cast("double"), [1.0 / 3, 2.0 / 3]).alias("_q")).first()[0]
+    t = F.col(total).cast("double")
+    distinct = per_user.agg(F.approx_count_distinct(t).alias("d")).first()["d"]
+    if distinct <= max_exact_values:
+        q = per_user.agg(F.percentile(t, [1.0 / 3, 2.0 / 3]).alias("_q")).first()[0]
+    else:
+        q = per_user.agg(F.percentile_approx(t, [1.0 / 3, 2.0 / 3], accuracy).alias("_q")).first()[0]
     if q is None:
         return per_user.select(user, total, F.lit(None).cast("string").alias("segment"))
-    t = F.col(total).cast("double")
     seg = (F.when(t <= F.lit(float(q[0])), F.lit("light"))
             .when(t <= F.lit(float(q[1])), F.lit("medium"))
             .otherwise(F.lit("heavy")))

@@ -126,9 +126,6 @@ def read_thing_files(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S11 collection items ---------------------------------------------------------------
 
-_USER_ITEM_ONLY = [c for c in RAW_FIELDS["user_item"] if c not in ("user_id", "objectid")]
-
-
 def flatten_collection_items(items: DataFrame, user_id_col: str, item_col: str = "item",
                              subtype: str | None = "boardgame") -> DataFrame:
     """Parsed collection items → one flat row per kept item (S11 + P6):

@@ -81,3 +81,10 @@ def test_append_unit_rows_is_replay_safe(spark, tmp_dir):
     ing.append_unit_rows(b2, tmp_dir + "/rows")
     ing.append_unit_rows(b1, tmp_dir + "/rows")              # the same unit replayed after a crash
     assert spark.read.parquet(tmp_dir + "/rows").count() == 3
+
+
+def test_requested_not_returned(spark):
+    req = spark.createDataFrame([(1, "10"), (1, "11"), (1, "12"), (2, "13")], "batch int, oid string")
+    ret = spark.createDataFrame([(1, "10"), (1, "12"), (2, "13"), (2, "10")], "batch int, oid string")
+    got = sorted(tuple(r) for r in ing.requested_not_returned(req, ret, "oid", "batch").collect())
+    assert got == [(1, "11")]

@@ -71,3 +71,11 @@ def test_latest_and_coverage(spark):
     right = spark.createDataFrame([(0,), (0,), (2,)], "k int")
     r = marts.join_coverage(left, right, "k").first()
     assert (r.total, r.matched, r.unmatched, r.coverage) == (4, 2, 2, 0.5)
+
+
+def test_tertiles_approx_path_matches_on_small_data(spark):
+    per = spark.createDataFrame([(i, t) for i, t in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9])], "u int, total int")
+    exact = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total").collect()}
+    approx = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total", max_exact_values=1).collect()}
+    assert exact[0] == "light" and exact[8] == "heavy"
+    assert approx[0] == "light" and approx[8] == "heavy"
