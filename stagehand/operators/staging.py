@@ -121,3 +121,17 @@ def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str | N
     if path:
         w = w.option("path", path)
     w.saveAsTable(name)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Create-or-replace a table bucketed and sorted by ``key`` (S8, co-location form).
+
+    Two tables bucketed the same way on the same key join without a shuffle
+    (the item-grain staging tables, keyed by ``objectid``, are the use case).
+    A key holding a large share of rows would make one bucket large, so for
+    skewed keys ``cluster_by_key`` (range on key + hash) is the layout to use.
+    """
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(name)
