@@ -50,3 +50,30 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_dir):
         assert j.count() == 5000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_hot_key_join_is_split_by_aqe(spark):
+    """A fact key holding a third of the rows: AQE splits its partition in the left join."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    prev = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        # a varying payload, so the hot partition is large in bytes too (AQE measures bytes)
+        fact = _hot(spark, 60000).select("k", "v", F.lit(None).cast("bigint").alias("year"))
+        dim = spark.range(60000).select(F.col("id").alias("k"), (F.col("id") % 50 + 1970).alias("first_year"))
+        out = staging.enrich_left(fact, dim, "k", {"year": "first_year"})
+        assert out.where(F.col("year").isNull()).count() == 0
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for k, v in prev.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
