@@ -162,7 +162,7 @@ def progress(sample: DataFrame, done: DataFrame, excluded: DataFrame, key: str,
                              F.lit(None).cast("double").alias("_sec"))]
     if durations is not None:
         parts.append(durations.select(key, F.lit(0).alias("_s"), F.lit(0).alias("_d"), F.lit(0).alias("_x"),
-                                      F.col(seconds).cast("double").alias("_sec")))
+                                      F.col(seconds).try_cast("double").alias("_sec")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

@@ -186,7 +186,7 @@ def parse_plays_pages(df: DataFrame, xml_col: str, user_id_col: str) -> tuple[Da
     """Plays pages → (user_play rows, per-page (user_id, page, rows, total))."""
     p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"),
                           F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA).alias("pg"))
-    pages = p.select("user_id", F.col("pg._page").cast("int").alias("page"),
+    pages = p.select("user_id", F.col("pg._page").try_cast("int").alias("page"),
                      F.coalesce(F.size(F.col("pg.play")), F.lit(0)).alias("rows"),
                      F.coalesce(F.col("pg._total").try_cast("bigint"), F.lit(0)).alias("total"))
     plays = _explode_parsed(p, ["user_id"], F.col("pg.play"), "x").select(
