@@ -35,8 +35,13 @@ def _margin(q: Column | float) -> Column | float:
     return q + 6.0 * math.sqrt(q) + 16.0
 
 
-def seeded_sample(df: DataFrame, id_col: str, n: int, seed) -> DataFrame:
-    """Exactly ``min(n, N)`` rows: the n smallest ``md5(seed:id)``, ties by id (M1)."""
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed, max_single_task: int = 100_000) -> DataFrame:
+    """Exactly ``min(n, N)`` rows: the n smallest ``md5(seed:id)``, ties by id (M1).
+
+    Up to ``max_single_task`` rows the final pick is one small top-n; beyond it
+    the pick stays distributed (``_smallest_by_buckets``), so no task ever holds
+    the whole sample.
+    """
     h = sample_hash(id_col, seed)
     total = df.count()
     if n >= total:
@@ -44,10 +49,38 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed) -> DataFrame:
     f = min(1.0, _margin(float(n)) / total)
     while True:
         cand = df.where(_uniform(h) < F.lit(f))
-        if f >= 1.0 or cand.count() >= n:
+        got = cand.count()
+        if f >= 1.0 or got >= n:
             break
         f = min(1.0, f * 2)
-    return (cand.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h"))
+    if n <= max_single_task:
+        return cand.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
+    return _smallest_by_buckets(cand.withColumn("_h", h), id_col, n, f, got, max_single_task)
+
+
+def _smallest_by_buckets(cand: DataFrame, id_col: str, n: int, f: float, got: int,
+                         per_bucket: int) -> DataFrame:
+    """The n rows with the smallest (``_h``, id) among ``cand``, without a global sort.
+
+    Candidates are cut by hash prefix into buckets of about ``per_bucket`` rows
+    (the prefix is uniform). Buckets wholly below the n-th row are taken as they
+    are; only the one bucket holding the cut is ranked, inside itself.
+    """
+    buckets = max(1, math.ceil(got / per_bucket))
+    b = F.least(F.floor(_uniform(F.col("_h")) / F.lit(f) * buckets), F.lit(buckets - 1)).cast("bigint")
+    cand = cand.withColumn("_b", b)
+    counts = cand.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).orderBy("_b").collect()  # ≤ buckets rows
+    before, cut, need = 0, None, 0
+    for row in counts:
+        if before + row["_c"] >= n:
+            cut, need = row["_b"], n - before
+            break
+        before += row["_c"]
+    whole = cand.where(F.col("_b") < F.lit(cut))
+    edge = (cand.where(F.col("_b") == F.lit(cut))
+                .withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)))
+                .where(F.col("_rn") <= F.lit(need)).drop("_rn"))
+    return whole.unionByName(edge).drop("_h", "_b")
 
 
 def freeze(df: DataFrame, path: str) -> DataFrame:

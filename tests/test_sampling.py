@@ -51,3 +51,10 @@ def test_wilson(spark):
     r = spark.createDataFrame([(5, 10)], "k int, n int").select(
         sampling.wilson_interval(F.col("k"), F.col("n")).alias("w")).first().w
     assert abs(r.lo - 0.2366) < 1e-3 and abs(r.hi - 0.7634) < 1e-3
+
+
+def test_seeded_sample_distributed_pick_matches(spark):
+    df = spark.range(20000).select(F.col("id").alias("uid"))
+    for n in (1500, 4321):
+        got = sorted(r.uid for r in sampling.seeded_sample(df, "uid", n, 11, max_single_task=500).collect())
+        assert got == sorted(_brute(range(20000), n, 11)), n
