@@ -45,6 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf = sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is lost with its executor: refuse rather than guess
+            raise RuntimeError(f"{CHECKPOINT_CONF} is not set; a cluster job needs a shared folder there")
         conf = tempfile.mkdtemp(prefix="stagehand-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir().rstrip("/")

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..operators.partitioning import spread
 from ..schemas import RAW_FIELDS, STATUS_FLAG_KEYS
 
+# Parser options: text and attribute values are kept exactly as sent — Spark's
+# default trims surrounding whitespace of both, a plain DOM read does not — and
+# a malformed document gives an all-NULL row instead of failing the job.
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
+
 _V = "struct<_value:string>"
 
 USER_SCHEMA = ("_id string, _name string, yearregistered {v}, lastlogin {v}, country {v}, "
@@ -78,10 +83,18 @@ def xml_escape(c: Column) -> Column:
 
 def parse_user_pages(df: DataFrame, xml_col: str, user_id_col: str) -> DataFrame:
     """One user page per row → raw user_info rows."""
-    u = F.from_xml(F.col(xml_col), USER_SCHEMA).alias("u")
-    p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"), u)
-    return p.select("user_id", *[_dflt(F.col(f"u.{c}._value")).alias(c)
-                                 for c in RAW_FIELDS["user_info"][1:]])
+    u = F.from_xml(F.col(xml_col), USER_SCHEMA, XML_OPTIONS).alias("u")
+    return user_rows(spread(df).select(F.col(user_id_col).cast("string").alias("user_id"), u), "u")
+
+
+def user_rows(parsed: DataFrame, user_col: str = "user") -> DataFrame:
+    """Parsed user pages (struct column ``user_col`` + ``user_id``) → raw user_info rows.
+
+    The id is the one the page was requested with (``user_id``), as the crawl
+    recorded it, not an attribute of the page.
+    """
+    return parsed.select("user_id", *[_dflt(F.col(f"{user_col}.{c}._value")).alias(c)
+                                      for c in RAW_FIELDS["user_info"][1:]])
 
 
 # --- S10 thing items -----------------------------------------------------------------
@@ -115,13 +128,53 @@ def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFra
 
 def thing_items_from_strings(df: DataFrame, xml_col: str) -> DataFrame:
     """One ``<item>`` document per row → struct column ``item``."""
-    return spread(df).select(F.from_xml(F.col(xml_col), THING_SCHEMA).alias("item"))
+    return spread(df).select(F.from_xml(F.col(xml_col), THING_SCHEMA, XML_OPTIONS).alias("item"))
+
+
+# --- response files ---------------------------------------------------------------------
+
+def read_page_files(spark: SparkSession, path: str, row_tag: str, schema: str, as_col: str,
+                    unit_dir: bool = False) -> DataFrame:
+    """Landed API response files → one row per ``row_tag`` element, as struct ``as_col``.
+
+    Each file is one response with its root element (``<items>``, ``<plays>``,
+    ``<user>``), as the API sends it; the XML source splits large files across
+    tasks by element. With ``unit_dir`` the files sit in one folder per unit of
+    work (``<path>/<unit id>/<page>.xml``) and the folder name becomes
+    ``user_id`` — for responses that do not name their user (collections).
+    """
+    r = spark.read.format("xml").options(**XML_OPTIONS).option("rowTag", row_tag).schema(schema)
+    if unit_dir:
+        r = r.option("recursiveFileLookup", "true")       # unit folders are not key=value partitions
+    raw = r.load(path)
+    cols = [F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(as_col)]
+    if unit_dir:
+        cols.insert(0, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("user_id"))
+    return raw.select(*cols)
 
 
 def read_thing_files(spark: SparkSession, path: str) -> DataFrame:
     """Thing response files (``<items><item>…``) → struct column ``item`` (rowTag=item)."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(THING_SCHEMA).load(path)
-    return raw.select(F.struct(*raw.columns).alias("item"))
+    return read_page_files(spark, path, "item", THING_SCHEMA, "item")
+
+
+def read_user_files(spark: SparkSession, path: str) -> DataFrame:
+    """User response files (``<user name=…>``) → raw user_info rows; the id is the
+    requested name, which the page carries as its ``name`` attribute."""
+    p = read_page_files(spark, path, "user", USER_SCHEMA, "u")
+    return user_rows(p.select(F.col("u._name").alias("user_id"), "u"), "u")
+
+
+def read_collection_files(spark: SparkSession, path: str) -> DataFrame:
+    """Collection response files, one folder per user → (user_id, struct ``item``)."""
+    return read_page_files(spark, path, "item", COLLECTION_ITEM_SCHEMA, "item", unit_dir=True)
+
+
+def read_plays_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Plays response files (one page each, ``<plays username=… total=… page=…>``) →
+    (user_play rows, per-page rows); the user is the page's ``username``."""
+    p = read_page_files(spark, path, "plays", PLAYS_PAGE_SCHEMA, "pg")
+    return plays_rows(p.select(F.col("pg._username").alias("user_id"), "pg"), "pg")
 
 
 # --- S11 collection items ---------------------------------------------------------------
@@ -177,7 +230,7 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
 
 
 def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str]) -> DataFrame:
-    return spread(df).select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA).alias("item"))
+    return spread(df).select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA, XML_OPTIONS).alias("item"))
 
 
 # --- S12 plays pages ---------------------------------------------------------------------
@@ -185,7 +238,14 @@ def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str])
 def parse_plays_pages(df: DataFrame, xml_col: str, user_id_col: str) -> tuple[DataFrame, DataFrame]:
     """Plays pages → (user_play rows, per-page (user_id, page, rows, total))."""
     p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"),
-                          F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA).alias("pg"))
+                          F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA, XML_OPTIONS).alias("pg"))
+    return plays_rows(p, "pg")
+
+
+def plays_rows(p: DataFrame, page_col: str = "pg") -> tuple[DataFrame, DataFrame]:
+    """Parsed plays pages (``user_id`` + struct ``page_col``) → (user_play rows, per-page rows)."""
+    if page_col != "pg":
+        p = p.withColumnRenamed(page_col, "pg")
     pages = p.select("user_id", F.col("pg._page").try_cast("int").alias("page"),
                      F.coalesce(F.size(F.col("pg.play")), F.lit(0)).alias("rows"),
                      F.coalesce(F.col("pg._total").try_cast("bigint"), F.lit(0)).alias("total"))
