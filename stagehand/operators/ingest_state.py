@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import truncate
 from .joins import bounded_broadcast
+from .ranking import global_index  # noqa: F401  (B1 numbering; re-exported)
 
 # Response triage.
 MAX_RETRIES = 5
@@ -183,34 +184,6 @@ def progress(sample: DataFrame, done: DataFrame, excluded: DataFrame, key: str,
                       F.round(rate * F.col("remaining"), 2).alias("eta_seconds"))
 
 
-def global_index(df: DataFrame, key: str, target_buckets: int | None = None,
-                 rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """0-based rank of each row by a unique integer ``key``, without a global window.
-
-    Keys are cut into equal-width ranges — by default about one range per
-    ``rows_per_bucket`` rows, at least 4096 — and per-range counts (a table of at
-    most that many rows) give each range its offset; rows are then numbered
-    inside their range only. A range holds at most its width in unique keys, so
-    no task sees the whole table, and the offsets table stays small enough to
-    broadcast (it grows with N / ``rows_per_bucket``, one million rows at 10^12 ids).
-    """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if lo is None:
-        return df.withColumn("_idx", F.lit(None).cast("bigint"))
-    buckets = target_buckets or max(4096, math.ceil(n / rows_per_bucket))
-    width = max(1, math.ceil((int(hi) - int(lo) + 1) / buckets))
-    b = F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
-    with_b = df.withColumn("_b", b)
-    counts = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per non-empty range: bounded by ``buckets``, so this window and broadcast are safe
-    offsets = counts.withColumn(
-        "_off", F.sum("_cnt").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("_b", F.coalesce(F.col("_off"), F.lit(0)).alias("_off"))
-    j = with_b.join(F.broadcast(offsets), on="_b")
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return j.withColumn("_idx", (F.col("_off") + rn - 1).cast("bigint")).drop("_b", "_off")
-
-
 def id_batches(ids: DataFrame, key: str, size: int = 20) -> DataFrame:
     """Group ids, in id order, into batches of ``size`` joined by commas (B1).
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import rate
+from ..operators.ranking import exact_percentiles
 from ..operators.sampling import wilson_interval
 from ..session import shared_dir
 
@@ -132,22 +133,24 @@ def wish_vs_play(items: DataFrame, key: str, plays: str, wishing: str,
 # --- D5 / D6 segments ---------------------------------------------------------------------
 
 def tertile_segments(per_user: DataFrame, user: str, total: str,
-                     max_exact_values: int = 1_000_000, accuracy: int = 100_000) -> DataFrame:
+                     max_exact_values: int = 1_000_000) -> DataFrame:
     """Light/medium/heavy by tertile cut points of a per-user total (D5; ours).
 
-    Cut points are exact (Spark's ``percentile``, linear interpolation) when the
-    totals have at most ``max_exact_values`` distinct values: its buffer is a
-    value→count map merged map-side, so only distinct totals travel (play
-    counts have few). Above that bound the single final merge would grow with
-    the data, so ``percentile_approx`` (bounded sketch, ``accuracy``) is used
-    instead. Users with equal totals always share a segment.
+    Cut points are exact at any size, linear interpolation as Spark's
+    ``percentile`` defines it. Up to ``max_exact_values`` distinct totals that
+    aggregate computes them in one pass (its buffer is a value→count map merged
+    map-side, so only distinct totals travel; play counts have few). Beyond that
+    bound its single final merge would grow with the data, so the order
+    statistics are found from range-partitioned cumulative counts instead
+    (``ranking.exact_percentiles``): same values, no task holding them all.
+    Users with equal totals always share a segment.
     """
     t = F.col(total).cast("double")
     distinct = per_user.agg(F.approx_count_distinct(t).alias("d")).first()["d"]
     if distinct <= max_exact_values:
         q = per_user.agg(F.percentile(t, [1.0 / 3, 2.0 / 3]).alias("_q")).first()[0]
     else:
-        q = per_user.agg(F.percentile_approx(t, [1.0 / 3, 2.0 / 3], accuracy).alias("_q")).first()[0]
+        q = exact_percentiles(per_user, total, [1.0 / 3, 2.0 / 3], n_values=distinct)
     if q is None:
         return per_user.select(user, total, F.lit(None).cast("string").alias("segment"))
     seg = (F.when(t <= F.lit(float(q[0])), F.lit("light"))

@@ -56,8 +56,13 @@ def test_global_index_and_batches_match_brute_force(spark):
     ids = [i * i % 10007 for i in range(3000)]
     uniq = sorted(set(ids))
     df = spark.createDataFrame([(i,) for i in ids], "k long")
-    idx = {r.k: r._idx for r in ing.global_index(df.distinct(), "k", target_buckets=37).collect()}
+    idx = {r.k: r._idx for r in ing.global_index(df.distinct(), "k", min_ranges=37).collect()}
     assert idx == {k: i for i, k in enumerate(uniq)}
+    # clustered keys: a dense block holding most rows, plus far outliers
+    keys = list(range(10 ** 12, 10 ** 12 + 2000)) + [1, 2, 3, 2 ** 62]
+    kdf = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r._idx for r in ing.global_index(kdf, "k", rows_per_range=100, min_ranges=4).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
     batches = {r.batch_no: (r.n_ids, r.ids) for r in ing.id_batches(df, "k", 20).collect()}
     expect = {b: (len(uniq[b * 20:(b + 1) * 20]), ",".join(map(str, uniq[b * 20:(b + 1) * 20])))
               for b in range((len(uniq) + 19) // 20)}

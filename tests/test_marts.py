@@ -73,9 +73,24 @@ def test_latest_and_coverage(spark):
     assert (r.total, r.matched, r.unmatched, r.coverage) == (4, 2, 2, 0.5)
 
 
-def test_tertiles_approx_path_matches_on_small_data(spark):
-    per = spark.createDataFrame([(i, t) for i, t in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9])], "u int, total int")
-    exact = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total").collect()}
-    approx = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total", max_exact_values=1).collect()}
-    assert exact[0] == "light" and exact[8] == "heavy"
-    assert approx[0] == "light" and approx[8] == "heavy"
+def test_tertiles_ranked_path_equals_percentile(spark):
+    import random
+    rnd = random.Random(7)
+    # clustered totals with a hot value held by a third of the users
+    vals = [5] * 300 + [rnd.randint(0, 40) for _ in range(500)] + [rnd.randint(10 ** 6, 10 ** 6 + 50) for _ in range(100)]
+    per = spark.createDataFrame(list(enumerate(vals)), "u int, total int")
+    small = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total").collect()}
+    ranked = {r.u: r.segment for r in marts.tertile_segments(per, "u", "total", max_exact_values=1).collect()}
+    assert small == ranked
+
+
+def test_exact_percentiles_match_spark_percentile(spark):
+    import random
+    from stagehand.operators.ranking import exact_percentiles
+    rnd = random.Random(11)
+    for vals in ([3], [1, 2], [rnd.choice([0, 0, 0, 1, 7, 7.5, 100]) for _ in range(999)],
+                 [rnd.random() * 1000 for _ in range(2000)] + [None] * 5):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in vals], "v double")
+        ps = [0.0, 1.0 / 3, 0.5, 2.0 / 3, 0.99, 1.0]
+        want = df.agg(F.percentile("v", ps)).first()[0]
+        assert exact_percentiles(df, "v", ps, min_ranges=5) == want
