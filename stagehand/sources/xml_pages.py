@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partitioning import spread
 from ..schemas import RAW_FIELDS, STATUS_FLAG_KEYS
 
 # Parser options: text and attribute values are kept exactly as sent — Spark's
@@ -84,7 +83,7 @@ def xml_escape(c: Column) -> Column:
 def parse_user_pages(df: DataFrame, xml_col: str, user_id_col: str) -> DataFrame:
     """One user page per row → raw user_info rows."""
     u = F.from_xml(F.col(xml_col), USER_SCHEMA, XML_OPTIONS).alias("u")
-    return user_rows(spread(df).select(F.col(user_id_col).cast("string").alias("user_id"), u), "u")
+    return user_rows(df.select(F.col(user_id_col).cast("string").alias("user_id"), u), "u")
 
 
 def user_rows(parsed: DataFrame, user_col: str = "user") -> DataFrame:
@@ -128,7 +127,7 @@ def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFra
 
 def thing_items_from_strings(df: DataFrame, xml_col: str) -> DataFrame:
     """One ``<item>`` document per row → struct column ``item``."""
-    return spread(df).select(F.from_xml(F.col(xml_col), THING_SCHEMA, XML_OPTIONS).alias("item"))
+    return df.select(F.from_xml(F.col(xml_col), THING_SCHEMA, XML_OPTIONS).alias("item"))
 
 
 # --- response files ---------------------------------------------------------------------
@@ -230,14 +229,14 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
 
 
 def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str]) -> DataFrame:
-    return spread(df).select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA, XML_OPTIONS).alias("item"))
+    return df.select(*keep, F.from_xml(F.col(xml_col), COLLECTION_ITEM_SCHEMA, XML_OPTIONS).alias("item"))
 
 
 # --- S12 plays pages ---------------------------------------------------------------------
 
 def parse_plays_pages(df: DataFrame, xml_col: str, user_id_col: str) -> tuple[DataFrame, DataFrame]:
     """Plays pages → (user_play rows, per-page (user_id, page, rows, total))."""
-    p = spread(df).select(F.col(user_id_col).cast("string").alias("user_id"),
+    p = df.select(F.col(user_id_col).cast("string").alias("user_id"),
                           F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA, XML_OPTIONS).alias("pg"))
     return plays_rows(p, "pg")
 
