@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import bounded_broadcast
 
 
@@ -48,14 +49,15 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed, max_single_task: int
         return df
     f = min(1.0, _margin(float(n)) / total)
     while True:
-        cand = df.where(_uniform(h) < F.lit(f))
+        # the candidates (about n rows) are written once, so the pick does not rescan df
+        cand = materialize(df.withColumn("_h", h).where(_uniform(F.col("_h")) < F.lit(f)), "sample-candidates")
         got = cand.count()
         if f >= 1.0 or got >= n:
             break
         f = min(1.0, f * 2)
     if n <= max_single_task:
-        return cand.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
-    return _smallest_by_buckets(cand.withColumn("_h", h), id_col, n, f, got, max_single_task)
+        return cand.orderBy("_h", id_col).limit(n).drop("_h")
+    return _smallest_by_buckets(cand, id_col, n, f, got, max_single_task)
 
 
 def _smallest_by_buckets(cand: DataFrame, id_col: str, n: int, f: float, got: int,
@@ -124,7 +126,9 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed) ->
     h = sample_hash(id_col, seed)
     while True:
         small = bounded_broadcast(thr)
-        cand = df.withColumn("_h", h).join(small, on=stratum).where(_uniform(F.col("_h")) < F.col("_f"))
+        # about n candidate rows, written once: the check and the pick read them, not df
+        cand = materialize(df.withColumn("_h", h).join(small, on=stratum)
+                             .where(_uniform(F.col("_h")) < F.col("_f")), "strata-candidates")
         short = (cand.groupBy(stratum).agg(F.count(F.lit(1)).alias("_got"))
                      .join(thr, on=stratum, how="right")
                      .where((F.coalesce(F.col("_got"), F.lit(0)) < F.col("quota")) & (F.col("_f") < 1.0))

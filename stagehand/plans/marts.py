@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import rate
 from ..operators.ranking import exact_percentiles
 from ..operators.sampling import wilson_interval
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 
 def _one():
     return F.lit(1)
@@ -145,6 +145,8 @@ def tertile_segments(per_user: DataFrame, user: str, total: str,
     (``ranking.exact_percentiles``): same values, no task holding them all.
     Users with equal totals always share a segment.
     """
+    # the totals feed three passes (size, cut points, labels): compute them once
+    per_user = materialize(per_user.select(user, total), "per-user-totals")
     t = F.col(total).cast("double")
     distinct = per_user.agg(F.approx_count_distinct(t).alias("d")).first()["d"]
     if distinct <= max_exact_values:
