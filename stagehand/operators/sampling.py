@@ -112,12 +112,14 @@ def allocate(df: DataFrame, stratum: str, n: int) -> DataFrame:
     return counts.withColumn("quota", F.round(F.lit(float(n)) * F.col("population") / total).cast("bigint"))
 
 
-def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed) -> DataFrame:
+def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed,
+                      per_bucket: int = 100_000) -> DataFrame:
     """Per stratum, its quota of rows with the smallest ``md5(seed:id)`` (D11 + M1).
 
     Each stratum gets its own hash threshold from its quota and size, so only
     about ``quota`` rows per stratum reach the final window — a stratum holding a
-    third of all rows is filtered map-side, never gathered into one task.
+    third of all rows is filtered map-side, never gathered into one task; a
+    huge quota is itself ranked in buckets of about ``per_bucket`` rows.
     """
     alloc = allocate(df, stratum, n)
     thr = alloc.select(stratum, "quota",
@@ -138,8 +140,31 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed) ->
         grown = thr.join(short.withColumn("_grow", F.lit(True)), on=stratum, how="left")
         thr = grown.select(stratum, "quota",
                            F.when(F.col("_grow"), F.least(F.lit(1.0), F.col("_f") * 2)).otherwise(F.col("_f")).alias("_f")).cache()
-    rn = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", id_col))
-    return cand.withColumn("_rn", rn).where(F.col("_rn") <= F.col("quota")).drop("_h", "_f", "_rn", "quota")
+    return _quota_smallest(cand, id_col, stratum, per_bucket)
+
+
+def _quota_smallest(cand: DataFrame, id_col: str, stratum: str, per_bucket: int) -> DataFrame:
+    """Per stratum, its ``quota`` candidates with the smallest (``_h``, id).
+
+    A stratum's candidates are cut by hash prefix into buckets of about
+    ``per_bucket`` rows (the prefix is uniform below the stratum's ``_f``), so a
+    stratum with a huge quota is ranked in many tasks: buckets wholly under the
+    quota are kept as they are, and only the bucket holding the cut is ranked,
+    inside itself. Bucket counts are one row per (stratum, bucket).
+    """
+    nb = (cand.groupBy(stratum).agg(F.count(F.lit(1)).alias("_got"))
+              .select(stratum, F.greatest(F.lit(1), F.ceil(F.col("_got") / F.lit(per_bucket))).cast("bigint").alias("_nb")))
+    b = F.least(F.floor(_uniform(F.col("_h")) / F.col("_f") * F.col("_nb")), F.col("_nb") - 1).cast("bigint")
+    cand = cand.join(bounded_broadcast(nb), on=stratum).withColumn("_b", b)
+    counts = cand.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    cum = counts.select(stratum, "_b", "_c", F.coalesce(before, F.lit(0)).alias("_before"))
+    j = cand.join(bounded_broadcast(cum), on=[stratum, "_b"])
+    rn = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", id_col))
+    whole = F.col("_before") + F.col("_c") <= F.col("quota")
+    keep = whole | (F.col("_before") + F.col("_rn") <= F.col("quota"))
+    return (j.withColumn("_rn", rn).where(keep)
+             .drop("_h", "_f", "_rn", "quota", "_nb", "_b", "_c", "_before"))
 
 
 def wilson_interval(successes: Column, trials: Column, z: float = 1.96) -> Column:

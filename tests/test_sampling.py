@@ -22,14 +22,16 @@ def test_stratified_sample_exact(spark):
     # one stratum holds most of the rows (hot group)
     rows = [(i, "hot" if i % 10 < 7 else ("warm" if i % 10 < 9 else "cold")) for i in range(4000)]
     df = spark.createDataFrame(rows, "uid long, s string")
-    got = {}
-    for r in sampling.stratified_sample(df, "uid", "s", 200, 42).collect():
-        got.setdefault(r.s, []).append(r.uid)
     sizes = {"hot": 2800, "warm": 800, "cold": 400}
-    for s, size in sizes.items():
-        quota = int(200 * size / 4000 + 0.5)
-        members = [i for i, t in rows if t == s]
-        assert sorted(got[s]) == sorted(_brute(members, quota, 42)), s
+    # per_bucket=7: every stratum's quota is ranked across many hash buckets
+    for per_bucket in (100_000, 7):
+        got = {}
+        for r in sampling.stratified_sample(df, "uid", "s", 200, 42, per_bucket=per_bucket).collect():
+            got.setdefault(r.s, []).append(r.uid)
+        for s, size in sizes.items():
+            quota = int(200 * size / 4000 + 0.5)
+            members = [i for i, t in rows if t == s]
+            assert sorted(got[s]) == sorted(_brute(members, quota, 42)), (s, per_bucket)
 
 
 def test_sample_size_formula(spark):
