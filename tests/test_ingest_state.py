@@ -93,3 +93,19 @@ def test_requested_not_returned(spark):
     ret = spark.createDataFrame([(1, "10"), (1, "12"), (2, "13"), (2, "10")], "batch int, oid string")
     got = sorted(tuple(r) for r in ing.requested_not_returned(req, ret, "oid", "batch").collect())
     assert got == [(1, "11")]
+
+
+def test_ranges_stay_balanced_when_keys_cluster(spark):
+    from pyspark.sql import functions as F
+    from stagehand.operators.ranking import ranged
+    # 3000 keys packed in a tiny block plus a few far outliers: equal-width cuts would
+    # put nearly all rows in one range; the sampled range cut keeps every range small
+    keys = list(range(5 * 10 ** 9, 5 * 10 ** 9 + 3000)) + [0, 1, 10 ** 15]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    r = ranged(df, "k", rows_per_range=300)
+    sizes = [row.n for row in r.groupBy("_r").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == len(keys) and len(sizes) >= 8
+    assert max(sizes) <= 3 * 300
+    # ranges are in key order: every key of range i is below every key of range i+1
+    bounds = sorted((row.lo, row.hi) for row in r.groupBy("_r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
