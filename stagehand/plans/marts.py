@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import rate
+from ..operators.joins import bounded_broadcast
 from ..operators.ranking import exact_percentiles
 from ..operators.sampling import wilson_interval
 from ..session import materialize, shared_dir
@@ -46,7 +47,10 @@ def ordered_funnel(events: DataFrame, user: str, stage_col: str, ts_col: str,
     for k, stage in enumerate(stages):
         ev = events.where(F.col(stage_col) == F.lit(stage)).select(user, F.col(ts_col).alias("_ts"))
         if reached is not None:
-            ev = ev.join(reached, on=user).where(F.col("_ts") >= F.col("_prev"))
+            # broadcast the per-user table when its size is proven small: the events
+            # then never shuffle, so a user holding a third of them costs nothing
+            # extra; above the bound it is a shuffle join that AQE splits when skewed
+            ev = ev.join(bounded_broadcast(reached), on=user).where(F.col("_ts") >= F.col("_prev"))
         reached = ev.groupBy(user).agg(F.min("_ts").alias("_prev")).checkpoint(eager=True)
         counts.append(reached.agg(F.count(_one()).alias("users"))
                              .select(F.lit(k + 1).alias("stage_no"), F.lit(stage).alias("stage"), "users"))
