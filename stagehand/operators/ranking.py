@@ -27,14 +27,14 @@ def ranged(df: DataFrame, key: str, rows_per_range: int = 1_000_000,
            min_ranges: int | None = None, n_rows: int | None = None) -> DataFrame:
     """``df`` with a column ``_r``: the id of its key range, ranges in key order.
 
-    About ``rows_per_range`` rows per range (at least ``min_ranges``, by default
-    the cluster's parallelism). The number of ranges grows with the rows, so
-    the per-range table built from it stays about N / ``rows_per_range`` rows.
-    ``n_rows`` (an estimate is enough) saves the counting pass.
+    About ``rows_per_range`` rows per range (at least ``min_ranges``). The
+    number of ranges follows the rows, not the cluster size, so a small input
+    stays a few tasks and files, and the per-range table built from it stays
+    about N / ``rows_per_range`` rows. ``n_rows`` (an estimate is enough) saves
+    the counting pass.
     """
-    spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
-    ranges = max(min_ranges or spark.sparkContext.defaultParallelism, math.ceil(n / rows_per_range), 1)
+    ranges = max(min_ranges or 1, math.ceil(n / rows_per_range), 1)
     cut = df.repartitionByRange(ranges, F.col(key)).withColumn(RANGE, F.spark_partition_id())
     return materialize(cut, "ranged")
 
