@@ -5,6 +5,12 @@ column that mixes numbers and tokens ("Not Ranked") keeps every value. Comments
 hold newlines and doubled quotes, hence multiLine + RFC-4180 quoting. A load is
 an idempotent snapshot overwrite; the row count is observed on the write itself
 (no second scan).
+
+Scale: a multi-line CSV file cannot be split (a newline may sit inside a quoted
+field), so each file is read by one task. CSV is therefore only an interchange
+format here: it arrives as many files (one per crawl batch or writer task), and
+``load_raw`` converts it once to parquet, so every later read is a splittable,
+column-pruned scan.
 """
 from __future__ import annotations
 
