@@ -94,19 +94,22 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 # --- physical layout -------------------------------------------------------------
 
-def cluster_by_key(df: DataFrame, key: str, partitions: int) -> DataFrame:
+def cluster_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Range-cluster rows by ``key`` (S8) so parquet min/max stats prune on it.
 
     The range is taken over (key, row hash): a key holding a third of all rows is
     then cut across several output files instead of landing in one writer task,
-    while files stay ordered and non-overlapping on ``key``.
+    while files stay ordered and non-overlapping on ``key``. Without
+    ``partitions`` the file count is left to adaptive execution, which sizes
+    the ranges from the measured data.
     """
     tiebreak = F.xxhash64(*[F.col(c) for c in df.columns])
-    return (df.repartitionByRange(partitions, F.col(key), tiebreak)
-              .sortWithinPartitions(key))
+    cols = (F.col(key), tiebreak)
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return ranged.sortWithinPartitions(key)
 
 
-def write_clustered(df: DataFrame, path: str, key: str, partitions: int) -> None:
+def write_clustered(df: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
     """Create-or-replace a clustered table (S6 + S8): idempotent overwrite."""
     cluster_by_key(df, key, partitions).write.mode("overwrite").parquet(path)
 
