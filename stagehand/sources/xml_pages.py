@@ -62,6 +62,9 @@ PLAYS_PAGE_SCHEMA = (
     "item:struct<_name:string,_objecttype:string,_objectid:string>>>"
 )
 
+# What page completeness reads: page attributes and how many plays a page holds.
+PLAYS_PAGE_COUNT_SCHEMA = "_total string, _page string, play array<struct<_id:string>>"
+
 
 def _dflt(c: Column, default: str = "") -> Column:
     return F.coalesce(c, F.lit(default))
@@ -266,21 +269,32 @@ def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str],
 def parse_plays_pages(df: DataFrame, xml_col: str, user_id_col: str) -> tuple[DataFrame, DataFrame]:
     """Plays pages → (user_play rows, per-page (user_id, page, rows, total))."""
     p = df.select(F.col(user_id_col).cast("string").alias("user_id"),
-                          F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA, XML_OPTIONS).alias("pg"))
+                  F.from_xml(F.col(xml_col), PLAYS_PAGE_SCHEMA, XML_OPTIONS).alias("pg"))
     return plays_rows(p, "pg")
 
 
+def parse_plays_page_counts(df: DataFrame, xml_col: str, user_id_col: str) -> DataFrame:
+    """Plays pages → per-page (user_id, page, rows, total) only, parsing just the
+    page attributes and one attribute per play (A9's input)."""
+    p = df.select(F.col(user_id_col).cast("string").alias("user_id"),
+                  F.from_xml(F.col(xml_col), PLAYS_PAGE_COUNT_SCHEMA, XML_OPTIONS).alias("pg"))
+    return page_rows(p, "pg")
+
+
+def page_rows(p: DataFrame, page_col: str = "pg") -> DataFrame:
+    """Parsed plays pages → one row per page: page number, plays on it, declared total."""
+    pg = F.col(page_col)
+    return p.select("user_id", pg["_page"].try_cast("int").alias("page"),
+                    F.coalesce(F.size(pg["play"]), F.lit(0)).alias("rows"),
+                    F.coalesce(pg["_total"].try_cast("bigint"), F.lit(0)).alias("total"))
+
+
 def plays_rows(p: DataFrame, page_col: str = "pg") -> tuple[DataFrame, DataFrame]:
     """Parsed plays pages (``user_id`` + struct ``page_col``) → (user_play rows, per-page rows)."""
-    if page_col != "pg":
-        p = p.withColumnRenamed(page_col, "pg")
-    pages = p.select("user_id", F.col("pg._page").try_cast("int").alias("page"),
-                     F.coalesce(F.size(F.col("pg.play")), F.lit(0)).alias("rows"),
-                     F.coalesce(F.col("pg._total").try_cast("bigint"), F.lit(0)).alias("total"))
-    plays = _explode_parsed(p, ["user_id"], F.col("pg.play"), "x").select(
+    plays = _explode_parsed(p, ["user_id"], F.col(page_col)["play"], "x").select(
         _dflt(F.col("x._id")).alias("play_id"), "user_id",
         _dflt(F.col("x.item._objectid")).alias("objectid"),
         _dflt(F.col("x._date")).alias("play_date"), _dflt(F.col("x._quantity")).alias("quantity"),
         _dflt(F.col("x._length")).alias("length"), _dflt(F.col("x._incomplete")).alias("incomplete"),
         _dflt(F.col("x._location")).alias("location"))
-    return plays, pages
+    return plays, page_rows(p, page_col)
