@@ -38,6 +38,10 @@ THING_SCHEMA = (
     + f", ranks:struct<rank:array<{_RANK}>>>>"
 )
 
+# Narrow thing schemas: the fields one output reads (Spark does not prune them itself).
+THING_LINK_SCHEMA = "_id string, link array<struct<_type:string,_id:string,_value:string>>"
+THING_RANK_SCHEMA = f"_id string, statistics struct<ratings:struct<ranks:struct<rank:array<{_RANK}>>>>"
+
 _STAT_ATTRS = ["minplayers", "maxplayers", "minplaytime", "maxplaytime", "playingtime", "numowned"]
 COLLECTION_ITEM_SCHEMA = (
     "_objectid string, _subtype string, name struct<_VALUE:string,_sortindex:string>, "
@@ -115,29 +119,53 @@ def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFra
     projections. ``name`` is the first name element (primary by position);
     ``avg_weights`` repeats ``averageweight``.
     """
+    return (thing_details(items, item_col), thing_stats(items, item_col),
+            thing_links(items, item_col), thing_ranks(items, item_col))
+
+
+def _oid(it: Column) -> Column:
+    return _dflt(it["_id"]).alias("objectid")
+
+
+def thing_details(items: DataFrame, item_col: str = "item") -> DataFrame:
     it = F.col(item_col)
-    oid = _dflt(it["_id"]).alias("objectid")
-    r = it["statistics"]["ratings"]
-    details = items.select(
-        oid, _dflt(F.get(it["name"], 0)["_value"]).alias("name"),
+    return items.select(
+        _oid(it), _dflt(F.get(it["name"], 0)["_value"]).alias("name"),
         _dflt(it["yearpublished"]["_value"]).alias("yearpublished"),
         _dflt(it["minage"]["_value"]).alias("minage"),
         _dflt(it["description"]).alias("description"),
-        _dflt(r["averageweight"]["_value"]).alias("avg_weights"))
-    stats = items.select(oid, *[_dflt(r[t]["_value"]).alias(t) for t in RAW_FIELDS["item_stats"][1:]])
-    links = _explode_parsed(items.select(oid, it["link"].alias("_l")), ["objectid"], F.col("_l"), "l").select(
+        _dflt(it["statistics"]["ratings"]["averageweight"]["_value"]).alias("avg_weights"))
+
+
+def thing_stats(items: DataFrame, item_col: str = "item") -> DataFrame:
+    it = F.col(item_col)
+    r = it["statistics"]["ratings"]
+    return items.select(_oid(it), *[_dflt(r[t]["_value"]).alias(t) for t in RAW_FIELDS["item_stats"][1:]])
+
+
+def thing_links(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """Repeated ``link`` elements → long item_link rows (works on ``THING_LINK_SCHEMA``)."""
+    it = F.col(item_col)
+    return _explode_parsed(items.select(_oid(it), it["link"].alias("_l")), ["objectid"], F.col("_l"), "l").select(
         "objectid", _dflt(F.col("l._type")).alias("link_type"),
         _dflt(F.col("l._id")).alias("ref_id"), _dflt(F.col("l._value")).alias("value"))
-    ranks = _explode_parsed(items.select(oid, r["ranks"]["rank"].alias("_k")), ["objectid"], F.col("_k"), "k").select(
+
+
+def thing_ranks(items: DataFrame, item_col: str = "item") -> DataFrame:
+    """Nested ``rank`` elements → long item_rank rows (works on ``THING_RANK_SCHEMA``)."""
+    it = F.col(item_col)
+    k = it["statistics"]["ratings"]["ranks"]["rank"]
+    return _explode_parsed(items.select(_oid(it), k.alias("_k")), ["objectid"], F.col("_k"), "k").select(
         "objectid", _dflt(F.col("k._type")).alias("rank_type"),
         _dflt(F.col("k._friendlyname")).alias("friendlyname"),
         _dflt(F.col("k._value")).alias("value"), _dflt(F.col("k._bayesaverage")).alias("bayesaverage"))
-    return details, stats, links, ranks
 
 
-def thing_items_from_strings(df: DataFrame, xml_col: str) -> DataFrame:
-    """One ``<item>`` document per row → struct column ``item``."""
-    return df.select(F.from_xml(F.col(xml_col), THING_SCHEMA, XML_OPTIONS).alias("item"))
+def thing_items_from_strings(df: DataFrame, xml_col: str, schema: str = THING_SCHEMA) -> DataFrame:
+    """One ``<item>`` document per row → struct column ``item``; a narrower
+    schema (``THING_LINK_SCHEMA``, ``THING_RANK_SCHEMA``) parses only what one
+    output reads."""
+    return df.select(F.from_xml(F.col(xml_col), schema, XML_OPTIONS).alias("item"))
 
 
 # --- response files ---------------------------------------------------------------------
