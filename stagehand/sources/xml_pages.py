@@ -52,6 +52,13 @@ COLLECTION_ITEM_SCHEMA = (
     "status struct<" + ", ".join(f"_{k}:string" for k in STATUS_FLAG_KEYS) + ">"
 )
 
+# The fields the item_info rows read (no status flags, comment, plays or own rating).
+COLLECTION_ITEM_INFO_SCHEMA = (
+    "_objectid string, _subtype string, name struct<_VALUE:string,_sortindex:string>, yearpublished string, "
+    "stats struct<" + ", ".join(f"_{a}:string" for a in _STAT_ATTRS)
+    + f", rating:struct<average:{_V}, bayesaverage:{_V}, stddev:{_V}, ranks:struct<rank:array<{_RANK}>>>>"
+)
+
 # The fields the user_item rows read: parsing only these is about a third cheaper.
 COLLECTION_USER_ITEM_SCHEMA = (
     "_objectid string, _subtype string, numplays string, comment string, "
@@ -236,6 +243,19 @@ def _user_item_cols(it: Column) -> list[Column]:
             *[_dflt(it["status"][f"_{k}"]).alias(k) for k in STATUS_FLAG_KEYS]]
 
 
+def _item_info_cols(it: Column) -> list[Column]:
+    """The item_info fields after ``objectid``; ``rank`` is the first rank with a friendlyname."""
+    st = it["stats"]
+    rating = st["rating"]
+    first_rank = F.get(F.filter(rating["ranks"]["rank"], lambda k: k["_friendlyname"].isNotNull()), 0)
+    return [_dflt(it["name"]["_VALUE"]).alias("name"), _dflt(it["yearpublished"]).alias("yearpublished"),
+            *[_dflt(st[f"_{a}"]).alias(a) for a in _STAT_ATTRS],
+            _dflt(rating["average"]["_value"]).alias("average"),
+            _dflt(rating["bayesaverage"]["_value"]).alias("bayesaverage"),
+            _dflt(rating["stddev"]["_value"]).alias("stddev"),
+            _dflt(first_rank["_value"]).alias("rank")]
+
+
 def flatten_collection_items(items: DataFrame, user_id_col: str, item_col: str = "item",
                              subtype: str | None = "boardgame") -> DataFrame:
     """Parsed collection items → one flat row per kept item (S11 + P6):
@@ -246,19 +266,20 @@ def flatten_collection_items(items: DataFrame, user_id_col: str, item_col: str =
     both raw tables, so a landing job writes this once.
     """
     it = F.col(item_col)
-    st = it["stats"]
-    rating = st["rating"]
-    first_rank = F.get(F.filter(rating["ranks"]["rank"], lambda k: k["_friendlyname"].isNotNull()), 0)
     return _kept_items(items, item_col, subtype).select(
-        F.col(user_id_col).cast("string").alias("user_id"),
-        _dflt(it["_objectid"]).alias("objectid"),
-        _dflt(it["name"]["_VALUE"]).alias("name"), _dflt(it["yearpublished"]).alias("yearpublished"),
-        *[_dflt(st[f"_{a}"]).alias(a) for a in _STAT_ATTRS],
-        _dflt(rating["average"]["_value"]).alias("average"),
-        _dflt(rating["bayesaverage"]["_value"]).alias("bayesaverage"),
-        _dflt(rating["stddev"]["_value"]).alias("stddev"),
-        _dflt(first_rank["_value"]).alias("rank"),
-        *_user_item_cols(it))
+        F.col(user_id_col).cast("string").alias("user_id"), _dflt(it["_objectid"]).alias("objectid"),
+        *_item_info_cols(it), *_user_item_cols(it))
+
+
+def collection_item_info_rows(items: DataFrame, user_id_col: str | None = None, item_col: str = "item",
+                              subtype: str | None = "boardgame") -> DataFrame:
+    """Parsed collection items → raw item_info rows only (S11 + P6), with
+    ``user_id`` first when ``user_id_col`` is given (for a first-seen pick).
+    Works on items parsed with ``COLLECTION_ITEM_INFO_SCHEMA`` (or the full one)."""
+    it = F.col(item_col)
+    unit = [F.col(user_id_col).cast("string").alias("user_id")] if user_id_col else []
+    return _kept_items(items, item_col, subtype).select(
+        *unit, _dflt(it["_objectid"]).alias("objectid"), *_item_info_cols(it))
 
 
 def collection_user_item_rows(items: DataFrame, user_id_col: str, item_col: str = "item",
