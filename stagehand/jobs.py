@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .operators import reshape, staging
 from .plans import warehouse
 from .schemas import RAW_FIELDS
+from .session import drop_scratch
 from .sources import raw_csv
 
 # Legacy export files and the staged tables clustered by objectid.
@@ -149,14 +150,17 @@ def main(argv: Sequence[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"stagehand-{a.job}").getOrCreate()
     tokens = [c for c in a.null_token_columns.split(",") if c]
-    if a.job == "load-legacy":
-        out = load_legacy(spark, a.src, a.dst, tokens)
-    elif a.job == "load-raw":
-        out = load_raw_layer(spark, a.src, a.dst, tokens)
-    elif a.job == "stage":
-        out = stage_layer(spark, a.src, a.dst)
-    else:
-        out = check_layer(spark, a.src, a.dst)
+    try:
+        if a.job == "load-legacy":
+            out = load_legacy(spark, a.src, a.dst, tokens)
+        elif a.job == "load-raw":
+            out = load_raw_layer(spark, a.src, a.dst, tokens)
+        elif a.job == "stage":
+            out = stage_layer(spark, a.src, a.dst)
+        else:
+            out = check_layer(spark, a.src, a.dst)
+    finally:
+        drop_scratch(spark)                     # every result is written by now
     print(json.dumps(out, default=str))
 
 

@@ -81,3 +81,15 @@ def test_raw_csv_load_and_command_line(spark, tmp_dir, capsys):
     jobs.main(["stage", raw, stg])
     got = spark.read.parquet(f"{stg}/stg_user_item").select("wishlist", F.col("lastmodified").cast("string")).first()
     assert got[0] is True and got[1] == "2016-05-31 22:30:02"
+
+
+def test_drop_scratch_removes_only_scratch(spark):
+    from stagehand import session
+    df = session.materialize(spark.range(10), "to-drop")
+    path = df.inputFiles()[0].split("/to-drop-")[0]
+    local = path.replace("file:", "")
+    assert os.path.isdir(local)
+    gen = session.scratch_generation()
+    session.drop_scratch(spark)
+    assert not os.path.exists(local) and session.scratch_generation() == gen + 1
+    assert session.materialize(spark.range(3), "after").count() == 3      # scratch is usable again
