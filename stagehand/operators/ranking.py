@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import bounded_broadcast
 
 RANGE = "_r"
 
@@ -48,13 +49,14 @@ def cumulative(df: DataFrame, key: str, weight: Column | None = None,
     w = (weight if weight is not None else F.lit(1)).cast("bigint")
     r = ranged(df.withColumn("_w", w), key, rows_per_range, min_ranges, n_rows)
     per_range = r.groupBy(RANGE).agg(F.sum("_w").alias("_sum"))
-    # one row per range, a count bounded by construction: safe to order and broadcast
+    # one row per range (about N / rows_per_range): small enough to order in one
+    # window; it still grows with N, so it is broadcast only behind a checked bound
     offsets = per_range.select(RANGE, F.coalesce(
         F.sum("_sum").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).cast("bigint").alias("_off"))
     inside = F.sum("_w").over(Window.partitionBy(RANGE).orderBy(key)
                               .rowsBetween(Window.unboundedPreceding, -1))
-    return (r.join(F.broadcast(offsets), on=RANGE)
+    return (r.join(bounded_broadcast(offsets), on=RANGE)
              .withColumn("_before", (F.col("_off") + F.coalesce(inside, F.lit(0))).cast("bigint"))
              .drop(RANGE, "_off"))
 
