@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -106,8 +107,14 @@ def read_layer(spark: SparkSession, layer_dir: str, names: Sequence[str]) -> dic
     return {n: df for n, df in found.items() if df is not None}
 
 
-def stage_layer(spark: SparkSession, raw_dir: str, stg_dir: str) -> dict[str, int]:
-    """Raw → typed staging tables, item tables range-clustered by objectid."""
+def stage_layer(spark: SparkSession, raw_dir: str, stg_dir: str,
+                rows_per_file: int = 4_000_000) -> dict[str, int]:
+    """Raw → typed staging tables, item tables range-clustered by objectid.
+
+    A clustered table gets one range per ``rows_per_file`` rows (from a count of
+    the staged rows): adaptive execution can merge small shuffle partitions but
+    never splits a range, so the range count must follow the table's size.
+    """
     staged = warehouse.staging_layer(read_layer(spark, raw_dir, list(RAW_FIELDS)))
     counts = {}
     for name in STAGED:
@@ -115,7 +122,7 @@ def stage_layer(spark: SparkSession, raw_dir: str, stg_dir: str) -> dict[str, in
             continue
         df = staged[name]
         if name in CLUSTERED:
-            df = staging.cluster_by_key(df, "objectid")
+            df = staging.cluster_by_key(df, "objectid", max(1, math.ceil(df.count() / rows_per_file)))
         counts[name] = _write_counted(df, _join(stg_dir, name), name)
     return counts
 
