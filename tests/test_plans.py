@@ -77,3 +77,17 @@ def test_hot_key_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_broadcast_only_behind_row_and_byte_bounds(spark):
+    from stagehand.operators.joins import bounded_broadcast
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    small = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("s"))
+    assert hinted(bounded_broadcast(small, max_rows=1000))
+    assert not hinted(bounded_broadcast(small, max_rows=99))                     # too many rows
+    wide = spark.range(100).select(F.col("id").alias("k"), F.repeat(F.lit("y"), 10_000).alias("s"))
+    assert not hinted(bounded_broadcast(wide, max_rows=1000, max_bytes=100_000))  # ~1 MB of text
+    assert hinted(bounded_broadcast(wide, max_rows=1000, max_bytes=10_000_000))
