@@ -107,9 +107,11 @@ def sample_size(population: Column, z: float = 1.96, p: float = 0.5, e: float =
 def allocate(df: DataFrame, stratum: str, n: int) -> DataFrame:
     """Proportional allocation (D11): quota_s = round(n · N_s / N) per stratum."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("population"))
-    total = F.sum("population").over(Window.partitionBy())
-    # the strata table is one row per stratum: small, so a global window is fine
-    return counts.withColumn("quota", F.round(F.lit(float(n)) * F.col("population") / total).cast("bigint"))
+    # the total is one number (a one-row aggregate), so however many strata there
+    # are, no window gathers them all into one task
+    total = counts.agg(F.sum("population")).first()[0] or 0
+    return counts.withColumn("quota", F.round(F.lit(float(n)) * F.col("population")
+                                              / F.lit(float(max(total, 1)))).cast("bigint"))
 
 
 def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed,
