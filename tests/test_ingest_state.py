@@ -109,3 +109,11 @@ def test_ranges_stay_balanced_when_keys_cluster(spark):
     # ranges are in key order: every key of range i is below every key of range i+1
     bounds = sorted((row.lo, row.hi) for row in r.groupBy("_r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
     assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_batches_of_string_ids_follow_string_order(spark):
+    ids = [f"user-{i}" for i in range(137)] + ["user-5", "user-77"]          # repeats are batched once
+    df = spark.createDataFrame([(i,) for i in ids], "u string")
+    uniq = sorted(set(ids))
+    got = {r.batch_no: r.ids for r in ing.id_batches(df, "u", 20).collect()}
+    assert got == {b: ",".join(uniq[b * 20:(b + 1) * 20]) for b in range((len(uniq) + 19) // 20)}
