@@ -9,14 +9,12 @@ join or an aggregate over these tables.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import truncate
 from .joins import bounded_broadcast
-from .ranking import global_index  # noqa: F401  (B1 numbering; re-exported)
+from .ranking import global_index
 
 # Response triage.
 MAX_RETRIES = 5
