@@ -188,7 +188,7 @@ def id_batches(ids: DataFrame, key: str, size: int = 20) -> DataFrame:
     Output: (batch_no, n_ids, ids). The batch string is built from at most
     ``size`` ids, so the per-batch collect is bounded.
     """
-    idx = global_index(ids.select(key).distinct(), key)
+    idx = global_index(ids.select(key).where(F.col(key).isNotNull()).distinct(), key)   # a NULL id is never requested
     batched = idx.withColumn("batch_no", F.floor(F.col("_idx") / F.lit(size)).cast("bigint"))
     agg = batched.groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("n_ids"),
