@@ -21,3 +21,27 @@ def test_restart_and_idempotent_replay(spark, tmp_dir):
     led = spark.read.parquet(ledger)
     assert led.select("unit_id").distinct().count() == 3
     assert led.groupBy("unit_id", "batch_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_thing_page_stream_parses_only_new_responses(spark, tmp_dir):
+    import os
+    from test_xml_parsers import THING
+    land, raw, ledger, ckpt = (f"{tmp_dir}/{p}" for p in ("land", "raw", "ledger", "ckpt"))
+    os.makedirs(land)
+
+    def respond(i):
+        with open(f"{land}/thing-{i}.xml", "w") as f:
+            f.write(THING.replace('id="9001"', f'id="{i}"'))
+
+    respond(1), respond(2)
+    ingest.run_thing_page_stream(spark, land, raw, ledger, ckpt, max_files_per_trigger=1)
+    respond(3)                                                   # arrives after a restart
+    ingest.run_thing_page_stream(spark, land, raw, ledger, ckpt)
+    ingest.run_thing_page_stream(spark, land, raw, ledger, ckpt)   # nothing new: nothing parsed
+    det = spark.read.parquet(f"{raw}/item_details")
+    assert sorted(r.objectid for r in det.collect()) == ["1", "2", "3"]       # each response once
+    per_item = spark.read.parquet(f"{raw}/item_link").groupBy("objectid").count().collect()
+    assert len({r["count"] for r in per_item}) == 1 and len(per_item) == 3
+    assert spark.read.parquet(f"{raw}/item_rank").where(F.col("objectid") == "3").count() >= 1
+    assert sorted(r.unit_id for r in spark.read.parquet(ledger).collect()) == ["1", "2", "3"]
+    assert spark.read.parquet(f"{raw}/item_details").select("batch_id").distinct().count() == 3
