@@ -4,6 +4,7 @@
     python -m stagehand.jobs load-raw    CSV_DIR RAW_DIR  # crawl CSV, one folder per table → raw (S2)
     python -m stagehand.jobs stage       RAW_DIR STG_DIR  # typed staging tables (E3, S6–S8)
     python -m stagehand.jobs check       RAW_DIR OUT_DIR  # raw-layer checklist + reports (A11)
+    python -m stagehand.jobs stream-things LANDING_DIR RAW_DIR  # new thing responses → raw (X1–X3)
 
 A layer is a folder with one parquet table per name (``RAW_DIR/user_item``…).
 Loads and staged tables are create-or-replace snapshots; every job takes its
@@ -147,9 +148,21 @@ def check_layer(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     return [r.asDict() for r in done.collect()]
 
 
+def stream_things(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[str, int]:
+    """Parse the thing responses landed since the last run into the raw tables.
+    The stream's checkpoint and the ledger live beside the raw tables (shared
+    storage), so the next run resumes where this one ended."""
+    from .streaming.ingest import THING_TABLES, run_thing_page_stream
+    ledger = _join(raw_dir, "thing_ledger")
+    run_thing_page_stream(spark, landing_dir, raw_dir, ledger, _join(raw_dir, "_checkpoints/thing_pages"))
+    done = _read_if_present(spark.read.parquet, ledger)
+    return {"units_done": 0 if done is None else done.select("unit_id").distinct().count(),
+            "tables": len(THING_TABLES)}
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m stagehand.jobs")
-    ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check"])
+    ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check", "stream-things"])
     ap.add_argument("src")
     ap.add_argument("dst")
     ap.add_argument("--null-token-columns", default="",
@@ -164,6 +177,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             out = load_raw_layer(spark, a.src, a.dst, tokens)
         elif a.job == "stage":
             out = stage_layer(spark, a.src, a.dst)
+        elif a.job == "stream-things":
+            out = stream_things(spark, a.src, a.dst)
         else:
             out = check_layer(spark, a.src, a.dst)
     finally:

@@ -93,3 +93,19 @@ def test_drop_scratch_removes_only_scratch(spark):
     session.drop_scratch(spark)
     assert not os.path.exists(local) and session.scratch_generation() == gen + 1
     assert session.materialize(spark.range(3), "after").count() == 3      # scratch is usable again
+
+
+def test_stream_things_job_resumes(spark, tmp_dir, capsys):
+    from test_xml_parsers import THING
+    land, raw = f"{tmp_dir}/land", f"{tmp_dir}/raw"
+    os.makedirs(land)
+    for i in (11, 12):
+        with open(f"{land}/t{i}.xml", "w") as f:
+            f.write(THING.replace('id="9001"', f'id="{i}"'))
+    jobs.main(["stream-things", land, raw])
+    assert '"units_done": 2' in capsys.readouterr().out
+    with open(f"{land}/t13.xml", "w") as f:
+        f.write(THING.replace('id="9001"', 'id="13"'))
+    jobs.main(["stream-things", land, raw])
+    assert '"units_done": 3' in capsys.readouterr().out
+    assert spark.read.parquet(f"{raw}/item_details").count() == 3
