@@ -9,6 +9,8 @@ missing field, like the collectors did; ``blanks_to_null`` gives the raw form.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,14 +274,15 @@ def flatten_collection_items(items: DataFrame, user_id_col: str, item_col: str =
 
 
 def collection_item_info_rows(items: DataFrame, user_id_col: str | None = None, item_col: str = "item",
-                              subtype: str | None = "boardgame") -> DataFrame:
+                              subtype: str | None = "boardgame", keep: Sequence[str] = ()) -> DataFrame:
     """Parsed collection items → raw item_info rows only (S11 + P6), with
-    ``user_id`` first when ``user_id_col`` is given (for a first-seen pick).
-    Works on items parsed with ``COLLECTION_ITEM_INFO_SCHEMA`` (or the full one)."""
+    ``user_id`` first when ``user_id_col`` is given and the ``keep`` columns
+    last (for a first-seen pick). Works on items parsed with
+    ``COLLECTION_ITEM_INFO_SCHEMA`` (or the full one)."""
     it = F.col(item_col)
     unit = [F.col(user_id_col).cast("string").alias("user_id")] if user_id_col else []
     return _kept_items(items, item_col, subtype).select(
-        *unit, _dflt(it["_objectid"]).alias("objectid"), *_item_info_cols(it))
+        *unit, _dflt(it["_objectid"]).alias("objectid"), *_item_info_cols(it), *keep)
 
 
 def collection_user_item_rows(items: DataFrame, user_id_col: str, item_col: str = "item",
