@@ -5,6 +5,7 @@
     python -m stagehand.jobs stage       RAW_DIR STG_DIR  # typed staging tables (E3, S6–S8)
     python -m stagehand.jobs check       RAW_DIR OUT_DIR  # raw-layer checklist + reports (A11)
     python -m stagehand.jobs stream-things LANDING_DIR RAW_DIR  # new thing responses → raw (X1–X3)
+    python -m stagehand.jobs stream-collections LANDING_DIR RAW_DIR  # new collection responses → raw
 
 A layer is a folder with one parquet table per name (``RAW_DIR/user_item``…).
 Loads and staged tables are create-or-replace snapshots; every job takes its
@@ -160,9 +161,26 @@ def stream_things(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[s
             "tables": len(THING_TABLES)}
 
 
+def stream_collections(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[str, int]:
+    """Parse the collection responses (one folder per user) landed since the last
+    run; then write raw item_info as the first row per objectid over all batches."""
+    from .streaming.ingest import read_collection_item_info, run_collection_page_stream
+    ledger = _join(raw_dir, "collection_ledger")
+    run_collection_page_stream(spark, landing_dir, raw_dir, ledger,
+                               _join(raw_dir, "_checkpoints/collection_pages"))
+    out = {"users_done": 0, "item_info": 0}
+    done = _read_if_present(spark.read.parquet, ledger)
+    if done is not None:
+        out["users_done"] = done.select("unit_id").distinct().count()
+        out["item_info"] = _write_counted(read_collection_item_info(spark, raw_dir),
+                                          _join(raw_dir, "item_info"), "item_info")
+    return out
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m stagehand.jobs")
-    ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check", "stream-things"])
+    ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check", "stream-things",
+                                    "stream-collections"])
     ap.add_argument("src")
     ap.add_argument("dst")
     ap.add_argument("--null-token-columns", default="",
@@ -179,6 +197,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             out = stage_layer(spark, a.src, a.dst)
         elif a.job == "stream-things":
             out = stream_things(spark, a.src, a.dst)
+        elif a.job == "stream-collections":
+            out = stream_collections(spark, a.src, a.dst)
         else:
             out = check_layer(spark, a.src, a.dst)
     finally:

@@ -109,3 +109,16 @@ def test_stream_things_job_resumes(spark, tmp_dir, capsys):
     jobs.main(["stream-things", land, raw])
     assert '"units_done": 3' in capsys.readouterr().out
     assert spark.read.parquet(f"{raw}/item_details").count() == 3
+
+
+def test_stream_collections_job_lands_first_seen_item_info(spark, tmp_dir, capsys):
+    land, raw = f"{tmp_dir}/land", f"{tmp_dir}/raw"
+    for user, oid in (("ann", "5"), ("ben", "5"), ("cy", "6")):
+        os.makedirs(f"{land}/{user}")
+        with open(f"{land}/{user}/p1.xml", "w") as f:
+            f.write(f'<items><item objectid="{oid}" subtype="boardgame"><name>N{user}</name>'
+                    f'<stats numowned="3"><rating value="7"/></stats><status own="1"/></item></items>')
+    jobs.main(["stream-collections", land, raw])
+    assert '"users_done": 3, "item_info": 2' in capsys.readouterr().out
+    assert spark.read.parquet(f"{raw}/user_item").count() == 3
+    assert sorted(r.objectid for r in spark.read.parquet(f"{raw}/item_info").collect()) == ["5", "6"]
