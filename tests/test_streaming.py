@@ -75,3 +75,26 @@ def test_collection_page_stream_first_seen_across_restarts(spark, tmp_dir):
     # first write wins: alice's batch came first, carol's response arrived in a later batch
     assert info == {"1": "One", "2": "Two-a", "3": "Three"}
     assert sorted(r.unit_id for r in spark.read.parquet(ledger).collect()) == ["alice", "bob", "carol", "dave"]
+
+
+def test_plays_and_user_page_streams(spark, tmp_dir):
+    import os
+    from test_xml_parsers import PLAYS, USER
+    land_p, land_u, raw, ckpt = (f"{tmp_dir}/{p}" for p in ("plays", "users", "raw", "ckpt"))
+    os.makedirs(land_p), os.makedirs(land_u)
+    with open(f"{land_p}/sampleuser-1.xml", "w") as f:
+        f.write(PLAYS)
+    with open(f"{land_u}/sampleuser.xml", "w") as f:
+        f.write(USER)
+    ingest.run_plays_page_stream(spark, land_p, raw, f"{raw}/plays_ledger", f"{ckpt}/plays")
+    ingest.run_user_page_stream(spark, land_u, raw, f"{raw}/user_ledger", f"{ckpt}/users")
+    with open(f"{land_p}/other-1.xml", "w") as f:
+        f.write(PLAYS.replace('username="sampleuser"', 'username="other"').replace('id="50', 'id="60'))
+    ingest.run_plays_page_stream(spark, land_p, raw, f"{raw}/plays_ledger", f"{ckpt}/plays")
+    plays = spark.read.parquet(f"{raw}/user_play").collect()
+    assert sorted(r.play_id for r in plays) == ["501", "502", "601", "602"]
+    pages = {r.user_id: (r.page, r.rows, r.total) for r in spark.read.parquet(f"{raw}/play_pages").collect()}
+    assert pages == {"sampleuser": (1, 2, 3), "other": (1, 2, 3)}
+    assert sorted(r.unit_id for r in spark.read.parquet(f"{raw}/plays_ledger").collect()) == ["other", "sampleuser"]
+    u = spark.read.parquet(f"{raw}/user_info").first()
+    assert u.user_id == "sampleuser" and u.country == "Romania" and u.stateorprovince is None
