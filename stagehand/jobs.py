@@ -5,6 +5,8 @@
     python -m stagehand.jobs stage       RAW_DIR STG_DIR  # typed staging tables (E3, S6–S8)
     python -m stagehand.jobs check       RAW_DIR OUT_DIR  # raw-layer checklist + reports (A11)
     python -m stagehand.jobs stream-things LANDING_DIR RAW_DIR  # new thing responses → raw (X1–X3)
+    python -m stagehand.jobs stream-plays  LANDING_DIR RAW_DIR  # new plays responses → raw
+    python -m stagehand.jobs stream-users  LANDING_DIR RAW_DIR  # new user responses → raw
     python -m stagehand.jobs stream-collections LANDING_DIR RAW_DIR  # new collection responses → raw
 
 A layer is a folder with one parquet table per name (``RAW_DIR/user_item``…).
@@ -149,16 +151,17 @@ def check_layer(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     return [r.asDict() for r in done.collect()]
 
 
-def stream_things(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[str, int]:
-    """Parse the thing responses landed since the last run into the raw tables.
-    The stream's checkpoint and the ledger live beside the raw tables (shared
-    storage), so the next run resumes where this one ended."""
-    from .streaming.ingest import THING_TABLES, run_thing_page_stream
-    ledger = _join(raw_dir, "thing_ledger")
-    run_thing_page_stream(spark, landing_dir, raw_dir, ledger, _join(raw_dir, "_checkpoints/thing_pages"))
+def stream_pages(spark: SparkSession, kind: str, landing_dir: str, raw_dir: str) -> dict[str, int]:
+    """Parse the ``kind`` responses (things, plays, users) landed since the last
+    run into the raw tables. The stream's checkpoint and the ledger live beside
+    the raw tables (shared storage), so the next run resumes where this one ended."""
+    from .streaming import ingest
+    run = {"things": ingest.run_thing_page_stream, "plays": ingest.run_plays_page_stream,
+           "users": ingest.run_user_page_stream}[kind]
+    ledger = _join(raw_dir, f"{kind}_ledger")
+    run(spark, landing_dir, raw_dir, ledger, _join(raw_dir, f"_checkpoints/{kind}_pages"))
     done = _read_if_present(spark.read.parquet, ledger)
-    return {"units_done": 0 if done is None else done.select("unit_id").distinct().count(),
-            "tables": len(THING_TABLES)}
+    return {"units_done": 0 if done is None else done.select("unit_id").distinct().count()}
 
 
 def stream_collections(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[str, int]:
@@ -180,7 +183,7 @@ def stream_collections(spark: SparkSession, landing_dir: str, raw_dir: str) -> d
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m stagehand.jobs")
     ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check", "stream-things",
-                                    "stream-collections"])
+                                    "stream-plays", "stream-users", "stream-collections"])
     ap.add_argument("src")
     ap.add_argument("dst")
     ap.add_argument("--null-token-columns", default="",
@@ -195,8 +198,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             out = load_raw_layer(spark, a.src, a.dst, tokens)
         elif a.job == "stage":
             out = stage_layer(spark, a.src, a.dst)
-        elif a.job == "stream-things":
-            out = stream_things(spark, a.src, a.dst)
+        elif a.job in ("stream-things", "stream-plays", "stream-users"):
+            out = stream_pages(spark, a.job.split("-")[1], a.src, a.dst)
         elif a.job == "stream-collections":
             out = stream_collections(spark, a.src, a.dst)
         else:
