@@ -5,13 +5,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagehand.llm import decontaminate, packing
+from stagehand.llm import decontaminate, importance, line_dedup, packing, quality_rules
 from stagehand.llm.common import read_table
 
 #: The tokenizer file the packing query reads; its place comes from the installed package.
 PACK_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def pack(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +39,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_packing, op10_decontamination)
+    f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op8_quality_rules, op9_packing, op10_decontamination)
 }
 ORACLE: dict[str, str] = {}
