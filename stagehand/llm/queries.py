@@ -5,13 +5,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagehand.llm import decontaminate, importance, line_dedup, packing, quality_rules
+from stagehand.llm import decontaminate, importance, line_dedup, packing, quality_rules, sharding, warc
 from stagehand.llm.common import read_table
 
 #: The tokenizer file the packing query reads; its place comes from the installed package.
 PACK_TOKENIZER = "byte_bpe_50k.json"
 
 
+#: Byte limit of a shard: one loader read-ahead unit.
+SHARD_BYTES = 1 << 20
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"), SHARD_BYTES).drop("h")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +52,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op8_quality_rules, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op6_sharding, op8_quality_rules, op9_packing, op10_decontamination)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
