@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagehand.llm import decontaminate, importance, line_dedup, packing, quality_rules, sharding, warc
+from stagehand.llm import decontaminate, extract, importance, line_dedup, packing, quality_rules, sharding, warc
 from stagehand.llm.common import read_table
 
 #: The tokenizer file the packing query reads; its place comes from the installed package.
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), SHARD_BYTES).drop("h")
 
@@ -52,6 +56,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op6_sharding, op8_quality_rules, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_sharding, op8_quality_rules, op9_packing, op10_decontamination)
 }
 ORACLE: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
