@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagehand.llm import decontaminate, extract, importance, line_dedup, packing, quality_rules, sharding, warc
+from stagehand.llm import decontaminate, extract, importance, line_dedup, ngram_join, packing, quality_rules, sharding, warc
 from stagehand.llm.common import read_table
 
 #: The tokenizer file the packing query reads; its place comes from the installed package.
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read_table(spark, sf_dir, "documents")).drop("class")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -56,6 +60,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_sharding, op8_quality_rules, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_sharding, op7_ngram_join, op8_quality_rules, op9_packing, op10_decontamination)
 }
 ORACLE: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
