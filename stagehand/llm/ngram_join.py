@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagehand.llm.common import id_and_text, slices
@@ -78,14 +78,20 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, class, n_shingles) per row; class is null for an empty set."""
+    """(doc_id, class, n_shingles, row_hash) per row; class is null for an empty set."""
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_hash(df).alias("_hash"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2000):
             got = [shingles(t, n) for t in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "class": pa.array([class_of(h) for h in got], pa.binary()),
-                                   "n_shingles": pa.array([len(h) for h in got], pa.int64())})
+                                   "n_shingles": pa.array([len(h) for h in got], pa.int64()), "row_hash": b.column(2)})
+
+    return rows.mapInArrow(run, "doc_id long, class binary, n_shingles long, row_hash long")
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, class binary, n_shingles long")
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _group_starts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -343,17 +349,38 @@ def class_links(df: DataFrame, n_shingles: int, id_col: str, text_col: str, n: i
     return work.groupBy("root", "i", "j").applyInArrow(_search(percent), "u binary, v binary")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and ``class``
-    (equal for equal shingle sets, null for an empty set)."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sets_of`` and, for each class, its component's root class and smallest id."""
     docs = materialize(sets_of(df, id_col, text_col, n), "join-sets")
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
     roots = materialize(connected_components(class_links(df, total, id_col, text_col, n, percent)), "join-components")
     classes = docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select(
-        "class", "least", F.coalesce("root", "class").alias("root"))
-    rooted = materialize(rooted, "join-roots")
+    rooted = materialize(classes.join(roots, classes["class"] == roots["node"], "left").select(
+        "class", "least", F.coalesce("root", "class").alias("root")), "join-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("class", "component_id")
+    return docs, rooted.join(ids, "root").select("class", "root", "component_id")
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and ``class``
+    (equal for equal shingle sets, null for an empty set)."""
+    docs, named = _rooted(df, id_col, text_col, n, percent)
     return docs.join(named, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, with one row of each component: the one with the
+    smallest id (null last), then the smallest hash of its columns. Documents
+    with an empty set are linked with nothing and all stay."""
+    docs, named = _rooted(df, id_col, text_col, n, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash")
+    first = docs.join(named.select("class", "root"), "class").groupBy("root").agg(F.min(order).alias("o"))
+    keep = first.select("o.no_id", "o.id", F.col("o.row_hash").alias("hash"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).isNull().alias("no_id"),
+                     F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), row_hash(df).alias("hash"),
+                     F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    # equal rows share a key: the join has dealt them by it, so one of each is taken without a further shuffle
+    chosen = rows.filter("words").join(keep, ["no_id", "id", "hash"]).dropDuplicates(["no_id", "id", "hash"])
+    out = chosen.select("_row").unionAll(rows.filter("NOT words").select("_row"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])

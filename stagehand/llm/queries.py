@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagehand.llm import decontaminate, extract, importance, line_dedup, ngram_join, packing, quality_rules, sharding, warc
+from stagehand.llm import decontaminate, extract, importance, line_dedup, ngram_join, packing, quality_rules, sharding, suffix_dedup, warc
 from stagehand.llm.common import read_table
 
 #: The tokenizer file the packing query reads; its place comes from the installed package.
@@ -16,6 +16,10 @@ PACK_TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
@@ -60,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_sharding, op7_ngram_join, op8_quality_rules, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_sharding, op7_ngram_join, op8_quality_rules, op9_packing, op10_decontamination)
 }
 ORACLE: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
