@@ -35,6 +35,7 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>", re.S)
+_CUT_TAG = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)", re.S)
 
 #: Elements whose content is no page text.
@@ -190,14 +191,16 @@ def blocks_of(page: str) -> list[Block]:
             block = None
         stack.append(_evidence(tag, m["attrs"], stack[-1]))
         links += tag == "a"
-    text(at, size)
+    cut = _CUT_TAG.search(page, at)
+    text(at, cut.start() if cut else size)
     for b in out:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in out if b.text]
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """(cost of calling the block boilerplate, cost of calling it content)."""
+def costs(b: Block, has_article: bool) -> tuple[float, float]:
+    """(cost of calling the block boilerplate, cost of calling it content).
+    ``has_article``: the page marks its article, so text outside of it is suspect."""
     n, tag = len(b.text), b.node.tag
     keep, drop = 1.0 + b.node.main, b.node.boiler
     keep += min(n / 80, 5.0)
@@ -209,7 +212,7 @@ def costs(b: Block) -> tuple[float, float]:
     drop += 6.0 * linked if linked > 0.3 else 0.0
     if n < 25 and tag not in ("p", "h1", "h2", "h3", "td", "th", "li"):
         drop += 1.0
-    if not b.node.in_article:
+    if has_article and not b.node.in_article:
         drop += 2.0
     if re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
         drop += 4.0
@@ -294,7 +297,8 @@ def min_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, fl
 
 
 def label(blocks: list[Block]) -> list[bool]:
-    pairs = [costs(b) for b in blocks]
+    has_article = any(b.node.in_article for b in blocks)
+    pairs = [costs(b, has_article) for b in blocks]
     edges: list[tuple[int, int, float]] = []
     last_child: dict[int, int] = {}
     for i, b in enumerate(blocks):

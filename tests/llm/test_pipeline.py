@@ -1,0 +1,58 @@
+"""The registered queries of this part, and the pipeline as a whole."""
+import sys
+
+import duckdb
+import pytest
+from helpers import awkward_texts, clashing, docs, jaccard_components
+
+import corpus_pipeline
+from stagehand.llm import queries
+from stagehand.session import materialize
+
+sys.path.insert(0, "/root/repo")
+SF = "/root/testdata/sf0.001"
+
+
+def test_a_query_for_each_operator():
+    names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    rel = con.execute(queries.ORACLE[name])
+    cols = [d[0] for d in rel.description]
+    assert sorted(cols) == sorted(got.columns)
+    assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
+
+
+def test_stages_keep_columns_and_compose(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_classifier", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
+    step, sizes = d, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        step = materialize(stage(spark, step, SF), name)
+        sizes.append(step.count())
+        if k < 4:
+            assert step.columns == d.columns and dict(step.dtypes) == dict(d.dtypes)
+    assert d.count() > sizes[0] >= sizes[2] and sizes[4] >= sizes[3]
+    again = corpus_pipeline.run(spark, SF)
+    assert again.agg({"length": "sum"}).first() == step.agg({"length": "sum"}).first()
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    odd = docs(spark, awkward_texts())
+    for df in (odd, clashing(odd), odd.limit(0)):
+        out = stage(spark, df, SF)
+        rows = out.collect()
+        if k < 4:
+            assert out.columns == df.columns
+            assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    if name == "ngram_jaccard_join":
+        assert {r.doc_id for r in stage(spark, odd, SF).collect()} >= {c for i, n, c in jaccard_components(awkward_texts()) if c is not None}
