@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 # Accepted text shapes.
 INT_RE = r"^[+-]?[0-9]+$"
-HEX_RE = r"^[+-]?0[xX][0-9a-fA-F]{1,15}$"
+HEX_RE = r"^[+-]?0[xX][0-9a-fA-F]+$"
 FLOAT_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-FLOAT_SPECIAL = ("inf", "+inf", "-inf", "nan")
+INF_RE = r"(?i)^[+-]?inf(inity)?$"
+NAN_RE = r"(?i)^[+-]?nan$"
 DATE_RE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 DATETIME_RE = (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
                r"([ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?)?$")
@@ -50,23 +51,23 @@ def nullif(col, token: str) -> Column:
 
 
 def safe_int(col) -> Column:
-    """SAFE_CAST(x AS INT64) (F1): decimal or 0x-hex integer text, surrounding spaces allowed."""
+    """SAFE_CAST(x AS INT64) (F1): decimal or 0x-hex integer text, surrounding spaces
+    allowed; a value beyond 64 bits is NULL."""
     s = F.trim(_c(col))
-    neg = s.startswith("-")
-    hex_digits = F.regexp_replace(s, r"^[+-]?0[xX]", "")
-    hex_val = F.conv(hex_digits, 16, 10).try_cast("bigint")
+    digits = F.regexp_extract(s, r"^[+-]?0[xX]0*([0-9a-fA-F]*)$", 1)
+    # ``conv`` saturates beyond 16 digits, so longer ones never reach it
+    plain = F.when(digits == "", F.lit("0")).when(F.length(digits) <= 16, F.conv(digits, 16, 10))
+    signed = F.when(s.startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)
     return (F.when(s.rlike(INT_RE), s.try_cast("bigint"))
-             .when(s.rlike(HEX_RE), F.when(neg, -hex_val).otherwise(hex_val)))
+             .when(s.rlike(HEX_RE), signed.try_cast("bigint")))
 
 
 def safe_double(col) -> Column:
-    """SAFE_CAST(x AS FLOAT64) (F2): decimal/exponent text, or inf/nan words."""
+    """SAFE_CAST(x AS FLOAT64) (F2): decimal/exponent text, or inf/infinity/nan words with an optional sign."""
     s = F.trim(_c(col))
-    low = F.lower(s)
     return (F.when(s.rlike(FLOAT_RE), s.try_cast("double"))
-             .when(low.isin("inf", "+inf"), F.lit(float("inf")))
-             .when(low == "-inf", F.lit(float("-inf")))
-             .when(low == "nan", F.lit(float("nan"))))
+             .when(s.rlike(INF_RE), F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+             .when(s.rlike(NAN_RE), F.lit(float("nan"))))
 
 
 def safe_date(col) -> Column:

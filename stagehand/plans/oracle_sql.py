@@ -5,7 +5,7 @@ Spark agree on what counts as a valid integer, float, date or datetime.
 """
 from __future__ import annotations
 
-from ..functions.casts import DATE_RE, DATETIME_RE, FLOAT_RE, HEX_RE, INT_RE
+from ..functions.casts import DATE_RE, DATETIME_RE, FLOAT_RE, HEX_RE, INF_RE, INT_RE, NAN_RE
 
 
 def q_int(x: str) -> str:
@@ -18,9 +18,8 @@ def q_int(x: str) -> str:
 def q_double(x: str) -> str:
     t = f"trim({x})"
     return (f"(CASE WHEN regexp_matches({t}, '{FLOAT_RE}') THEN TRY_CAST({t} AS DOUBLE) "
-            f"WHEN lower({t}) IN ('inf', '+inf') THEN 'inf'::DOUBLE "
-            f"WHEN lower({t}) = '-inf' THEN '-inf'::DOUBLE "
-            f"WHEN lower({t}) = 'nan' THEN 'nan'::DOUBLE END)")
+            f"WHEN regexp_matches({t}, '{INF_RE}') THEN (CASE WHEN starts_with({t}, '-') THEN '-inf' ELSE 'inf' END)::DOUBLE "
+            f"WHEN regexp_matches({t}, '{NAN_RE}') THEN 'nan'::DOUBLE END)")
 
 
 def q_date(x: str) -> str:

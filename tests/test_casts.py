@@ -88,3 +88,18 @@ def test_oracle_snippets_agree(spark):
         s_vals, d_vals = _spark_vals(spark, sfn), _duck_vals(qfn)
         for case, a, b in zip(CASES, s_vals, d_vals):
             assert _same(a, b), (sfn.__name__, case, a, b)
+
+
+def test_hex_to_64_bits_and_float_words(spark):
+    from stagehand.functions import casts
+    want = {"0x7FFFFFFFFFFFFFFF": 2**63 - 1, "0x8000000000000000": None, "-0x8000000000000000": -2**63, "0x" + "0" * 30 + "1f": 31,
+            "0x": None, "0x1" + "0" * 16: None, "-0X0a": -10}
+    df = spark.createDataFrame([(k,) for k in want], "x string")
+    assert {r.x: r.i for r in df.select("x", casts.safe_int("x").alias("i")).collect()} == want
+    inf, words = float("inf"), ["inf", "+INF", "Infinity", "-infinity", "-Inf", "+infinity"]
+    df = spark.createDataFrame([(w,) for w in words], "x string")
+    assert [r.d for r in df.select(casts.safe_double("x").alias("d")).collect()] == [inf, inf, inf, -inf, -inf, inf]
+    nan = spark.createDataFrame([("nan",), ("+NaN",), ("-nan",)], "x string").select(casts.safe_double("x").alias("d")).collect()
+    assert all(r.d != r.d for r in nan)
+    bad = spark.createDataFrame([("infin",), ("nano",), ("--inf",)], "x string").select(casts.safe_double("x").alias("d")).collect()
+    assert [r.d for r in bad] == [None] * 3

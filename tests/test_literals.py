@@ -3,7 +3,7 @@ from stagehand.functions import parse_pair_list, parse_string_list, link_type_ma
 from pyspark.sql import functions as F
 
 CELLS = [
-    ("ok", "[('1050', 'Ancient'), ('1022', 'Adventure, (with) commas')]"),
+    ("ok", "[('771', 'Heist'), ('88', 'Sailing, (with) commas')]"),
     ("dq", "[(\"7\", \"Tom's Game\")]"),
     ("esc", "[('12', 'It\\'s \\\\ fine')]"),
     ("bare", "[(12, 'x')]"),
@@ -24,7 +24,7 @@ def _parse(spark):
 
 def test_pairs(spark):
     got = _parse(spark)
-    assert got["ok"] == [("1050", "Ancient"), ("1022", "Adventure, (with) commas")]
+    assert got["ok"] == [("771", "Heist"), ("88", "Sailing, (with) commas")]
     assert got["dq"] == [("7", "Tom's Game")]
     assert got["esc"] == [("12", "It's \\ fine")]
     assert got["bare"] == [("12", "x")]
@@ -48,3 +48,32 @@ def test_link_type_map(spark):
     got = [r[0] for r in df.select(F.element_at(link_type_map(), F.col("c"))).collect()]
     assert got == list(LINK_COLUMN_TO_TYPE.values())
     assert len(LINK_COLUMN_TO_TYPE) == 9
+
+
+def test_cells_match_the_python_parser(spark):
+    import ast
+    import random
+    import warnings
+
+    from stagehand.functions.literals import parse_pair_list, parse_string_list
+    rnd = random.Random(8)
+    letters = "ab'\"\\\n\r\t\x07\x0b\x00\x7f\xa0\xe9\u200b\U0001f600,()[] "
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(9)))
+    cells = [f([(word(), word()) for _ in range(rnd.randrange(5))]) for _ in range(150) for f in (repr, ascii)]
+    cells += [repr([(str(i), "v" * 5) for i in range(5000)]), repr([("1", "x" * 100_000)]), repr([("1", "it's \\ " * 20_000)])]
+    cells += [r"[('1', '\101\x41\u0041\U00000041\q')]", r"[('1', '\1234')]", "[('1', 'a\nb')]", "[('1',)]", "[(1, 2, 3)]", "[('1', 'a'),]",
+              "[(1, u'x')]", r"[('1', '\x4')]", r"[('1', '\U00110000')]", "[]", " [ ] ", "", "x", None, "[('1', 'a')", "[('1', 'a')] x"]
+    want = {}
+    for i, c in enumerate(cells):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                want[i] = [(str(a), str(b)) for a, b in ast.literal_eval(c)]
+        except Exception:  # noqa: BLE001
+            want[i] = []
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, c string")
+    got = {r.i: [(p.ref_id, p.value) for p in r.p] for r in df.select("i", parse_pair_list("c").alias("p")).collect()}
+    assert got == want
+    names = ["a" * 50_000, "it's", 'say "x"', "line\nbreak", "\xa0"] * 300
+    one = spark.createDataFrame([(repr(names),), (repr(names)[:-1],)], "c string").select(parse_string_list("c").alias("l")).collect()
+    assert [r.l for r in one] == [names, []]
