@@ -29,15 +29,26 @@ DEFAULT_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-N
                        "n/a", "nan", "null"]
 
 
-def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType | Sequence[str]) -> DataFrame:
-    """CSV scan with an explicit string schema, header, multi-line quoted fields."""
-    if not isinstance(schema, T.StructType):
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in schema])
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType | Sequence[str],
+                     ragged: str = "fail") -> DataFrame:
+    """CSV scan, every column a string, multi-line quoted fields.
+
+    Columns are bound by header name, in any order; further ones are dropped and a
+    missing one raises ``ValueError``. Every file of a folder must have the same
+    header. Rows with too few or too many fields fail the job, or with
+    ``ragged="keep"`` are kept, short ones with NULLs.
+    """
+    names = [f.name for f in schema.fields] if isinstance(schema, T.StructType) else list(schema)
+    reader = (spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
+              .option("quote", '"').option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    header = reader.csv(path).columns
+    missing = [c for c in names if c not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header {header}")
+    found = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+    return (reader.schema(found).option("enforceSchema", False).option("columnPruning", False)
+            .option("mode", "FAILFAST" if ragged == "fail" else "PERMISSIVE").csv(path).select(*[F.col(f"`{c}`") for c in names]))
 
 
 def apply_null_tokens(df: DataFrame, columns: Sequence[str],
@@ -56,9 +67,10 @@ def read_raw(spark: SparkSession, table: str, path: str,
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV sink with header and RFC-4180 quoting; NULL is written as an empty field."""
+    """CSV sink with header and RFC-4180 quoting, spaces at the edges kept; NULL is written as an empty field."""
     (df.write.mode("overwrite").option("header", True)
        .option("quote", '"').option("escape", '"').option("quoteAll", False)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
 
 

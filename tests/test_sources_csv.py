@@ -29,7 +29,7 @@ def test_null_tokens_only_on_chosen_columns(spark):
 def test_load_raw_counts_and_unknown_table(spark, tmp_dir):
     header = ",".join(RAW_FIELDS["item_link"])
     with open(tmp_dir + "/links.csv", "w") as f:
-        f.write(header + "\n10,boardgamecategory,1050,Ancient\n10,boardgamemechanic,2001,\"Dice, Rolling\"\n")
+        f.write(header + "\n10,boardgamecategory,771,Heist\n10,boardgamemechanic,2001,\"Dice, Rolling\"\n")
     n = raw_csv.load_raw(spark, "item_link", tmp_dir + "/links.csv", tmp_dir + "/out")
     assert n == 2
     assert spark.read.parquet(tmp_dir + "/out").where(F.col("value") == "Dice, Rolling").count() == 1
@@ -43,3 +43,31 @@ def test_ensure_database(spark):
     raw_csv.ensure_database(spark, "stagehand_raw_test")
     raw_csv.ensure_database(spark, "stagehand_raw_test")
     assert "stagehand_raw_test" in [d.name for d in spark.catalog.listDatabases()]
+
+
+def test_columns_are_bound_by_name_and_rows_must_fit(spark, tmp_dir):
+    import pytest
+    from stagehand.sources import raw_csv
+
+    def put(name, text):
+        with open(f"{tmp_dir}/{name}", "w") as f:
+            f.write(text)
+        return f"{tmp_dir}/{name}"
+
+    cols = ["a", "b", "c"]
+    got = raw_csv.read_csv_strings(spark, put("x.csv", "c,extra,a,b\n3,x, 1 ,2\n"), cols).collect()
+    assert [tuple(r) for r in got] == [(" 1 ", "2", "3")]
+    with pytest.raises(ValueError, match="no column b"):
+        raw_csv.read_csv_strings(spark, put("y.csv", "a,c\n1,3\n"), cols)
+    ragged = put("z.csv", "a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        raw_csv.read_csv_strings(spark, ragged, cols).collect()
+    kept = raw_csv.read_csv_strings(spark, ragged, cols, ragged="keep").collect()
+    assert [tuple(r) for r in kept] == [("1", "2", "3"), ("4", "5", None), ("6", "7", "8")]
+
+
+def test_edge_spaces_survive_a_round_trip(spark, tmp_dir):
+    from stagehand.sources import raw_csv
+    rows = [("  lead",), ("trail  ",), (' "quoted", \n line ',), ("\ttab",)]
+    raw_csv.write_csv(spark.createDataFrame(rows, "t string"), f"{tmp_dir}/s")
+    assert sorted(tuple(r) for r in raw_csv.read_csv_strings(spark, f"{tmp_dir}/s", ["t"]).collect()) == sorted(rows)
