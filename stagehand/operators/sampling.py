@@ -36,18 +36,16 @@ def _margin(q: Column | float) -> Column | float:
     return q + 6.0 * math.sqrt(q) + 16.0
 
 
-def seeded_sample(df: DataFrame, id_col: str, n: int, seed, max_single_task: int = 100_000) -> DataFrame:
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed, per_bucket: int = 100_000) -> DataFrame:
     """Exactly ``min(n, N)`` rows: the n smallest ``md5(seed:id)``, ties by id (M1).
 
-    Up to ``max_single_task`` rows the final pick is one small top-n; beyond it
-    the pick stays distributed (``_smallest_by_buckets``), so no task ever holds
-    the whole sample.
+    Rows with a NULL id cannot be drawn and do not count. The pick is distributed
+    (``_smallest_by_buckets``), so no task ever holds the whole sample.
     """
     h = sample_hash(id_col, seed)
+    df = df.where(F.col(id_col).isNotNull())
     total = df.count()
-    if n >= total:
-        return df
-    f = min(1.0, _margin(float(n)) / total)
+    f = min(1.0, _margin(float(n)) / max(total, 1))
     while True:
         # the candidates (about n rows) are written once, so the pick does not rescan df
         cand = materialize(df.withColumn("_h", h).where(_uniform(F.col("_h")) < F.lit(f)), "sample-candidates")
@@ -55,9 +53,7 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed, max_single_task: int
         if f >= 1.0 or got >= n:
             break
         f = min(1.0, f * 2)
-    if n <= max_single_task:
-        return cand.orderBy("_h", id_col).limit(n).drop("_h")
-    return _smallest_by_buckets(cand, id_col, n, f, got, max_single_task)
+    return _smallest_by_buckets(cand, id_col, min(n, total), f, got, per_bucket)
 
 
 def _smallest_by_buckets(cand: DataFrame, id_col: str, n: int, f: float, got: int,
@@ -72,7 +68,7 @@ def _smallest_by_buckets(cand: DataFrame, id_col: str, n: int, f: float, got: in
     b = F.least(F.floor(_uniform(F.col("_h")) / F.lit(f) * buckets), F.lit(buckets - 1)).cast("bigint")
     cand = cand.withColumn("_b", b)
     counts = cand.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).orderBy("_b").collect()  # ≤ buckets rows
-    before, cut, need = 0, None, 0
+    before, cut, need = 0, -1, 0
     for row in counts:
         if before + row["_c"] >= n:
             cut, need = row["_b"], n - before
@@ -118,31 +114,34 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed,
                       per_bucket: int = 100_000) -> DataFrame:
     """Per stratum, its quota of rows with the smallest ``md5(seed:id)`` (D11 + M1).
 
-    Each stratum gets its own hash threshold from its quota and size, so only
-    about ``quota`` rows per stratum reach the final window — a stratum holding a
-    third of all rows is filtered map-side, never gathered into one task; a
-    huge quota is itself ranked in buckets of about ``per_bucket`` rows.
+    NULL is a stratum like any other; rows with a NULL id cannot be drawn and do
+    not count. Each stratum gets its own hash threshold from its quota and size,
+    so only about ``quota`` rows per stratum reach the final window — a stratum
+    holding a third of all rows is filtered map-side, never gathered into one
+    task; a huge quota is itself ranked in buckets of about ``per_bucket`` rows.
+    Short strata double their threshold up to 1, where they have all their rows.
     """
-    alloc = allocate(df, stratum, n)
-    thr = alloc.select(stratum, "quota",
-                       F.least(F.lit(1.0), _margin(F.col("quota").cast("double")) / F.col("population")).alias("_f"))
-    thr = thr.cache()
+    # strata are joined by a text that is never NULL
+    key = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("NULL"))
+    df = df.where(F.col(id_col).isNotNull()).withColumn("_k", key)
+    alloc = allocate(df, "_k", n)
+    thr = materialize(alloc.select("_k", "quota", F.least(F.lit(1.0), _margin(F.col("quota").cast("double"))
+                                                          / F.col("population")).alias("_f")), "strata-thresholds")
     h = sample_hash(id_col, seed)
     while True:
         small = bounded_broadcast(thr)
         # about n candidate rows, written once: the check and the pick read them, not df
-        cand = materialize(df.withColumn("_h", h).join(small, on=stratum)
+        cand = materialize(df.withColumn("_h", h).join(small, on="_k")
                              .where(_uniform(F.col("_h")) < F.col("_f")), "strata-candidates")
-        short = (cand.groupBy(stratum).agg(F.count(F.lit(1)).alias("_got"))
-                     .join(thr, on=stratum, how="right")
+        short = (cand.groupBy("_k").agg(F.count(F.lit(1)).alias("_got"))
+                     .join(thr, on="_k", how="right")
                      .where((F.coalesce(F.col("_got"), F.lit(0)) < F.col("quota")) & (F.col("_f") < 1.0))
-                     .select(stratum))
+                     .select("_k", F.lit(True).alias("_grow")))
         if short.isEmpty():
             break
-        grown = thr.join(short.withColumn("_grow", F.lit(True)), on=stratum, how="left")
-        thr = grown.select(stratum, "quota",
-                           F.when(F.col("_grow"), F.least(F.lit(1.0), F.col("_f") * 2)).otherwise(F.col("_f")).alias("_f")).cache()
-    return _quota_smallest(cand, id_col, stratum, per_bucket)
+        grown = F.when(F.col("_grow"), F.least(F.lit(1.0), F.col("_f") * 2)).otherwise(F.col("_f"))
+        thr = materialize(thr.join(short, on="_k", how="left").select("_k", "quota", grown.alias("_f")), "strata-thresholds")
+    return _quota_smallest(cand, id_col, "_k", per_bucket).drop("_k")
 
 
 def _quota_smallest(cand: DataFrame, id_col: str, stratum: str, per_bucket: int) -> DataFrame:

@@ -58,5 +58,20 @@ def test_wilson(spark):
 def test_seeded_sample_distributed_pick_matches(spark):
     df = spark.range(20000).select(F.col("id").alias("uid"))
     for n in (1500, 4321):
-        got = sorted(r.uid for r in sampling.seeded_sample(df, "uid", n, 11, max_single_task=500).collect())
+        got = sorted(r.uid for r in sampling.seeded_sample(df, "uid", n, 11, per_bucket=500).collect())
         assert got == sorted(_brute(range(20000), n, 11)), n
+
+
+def test_null_ids_are_never_drawn_below_or_at_the_total(spark):
+    df = spark.createDataFrame([(i if i % 2 else None, i) for i in range(10)], "uid long, x long")
+    for n in (0, 3, 5, 7, 10, 20):
+        got = sampling.seeded_sample(df, "uid", n, 5)
+        assert got.columns == df.columns and got.count() == min(n, 5) and got.where("uid IS NULL").count() == 0
+    assert sampling.seeded_sample(df.limit(0), "uid", 3, 5).count() == 0
+
+
+def test_stratified_sample_with_null_strata_ends(spark):
+    df = spark.createDataFrame([(i if i else None, None if i % 2 else f"s{i % 4}") for i in range(100)], "uid long, s string")
+    got = {r.s: r["count"] for r in sampling.stratified_sample(df, "uid", "s", 20, 3).groupBy("s").count().collect()}
+    assert got == {None: 10, "s0": 5, "s2": 5}
+    assert sampling.stratified_sample(df, "uid", "s", 1000, 3, per_bucket=7).count() >= 99
