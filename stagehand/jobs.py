@@ -8,6 +8,7 @@
     python -m stagehand.jobs stream-plays  LANDING_DIR RAW_DIR  # new plays responses → raw
     python -m stagehand.jobs stream-users  LANDING_DIR RAW_DIR  # new user responses → raw
     python -m stagehand.jobs stream-collections LANDING_DIR RAW_DIR  # new collection responses → raw
+    python -m stagehand.jobs work-list RAW_DIR OUT_DIR --candidates TABLE [--sample N]  # units left to fetch (J5, M1, M2, A10)
 
 A layer is a folder with one parquet table per name (``RAW_DIR/user_item``…).
 Loads and staged tables are create-or-replace snapshots; every job takes its
@@ -26,7 +27,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import reshape, staging
+from .operators import ingest_state as ing
+from .operators import reshape, sampling, staging
 from .plans import warehouse
 from .schemas import RAW_FIELDS
 from .session import drop_scratch
@@ -151,43 +153,63 @@ def check_layer(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     return [r.asDict() for r in done.collect()]
 
 
-def stream_pages(spark: SparkSession, kind: str, landing_dir: str, raw_dir: str) -> dict[str, int]:
-    """Parse the ``kind`` responses (things, plays, users) landed since the last
-    run into the raw tables. The stream's checkpoint and the ledger live beside
-    the raw tables (shared storage), so the next run resumes where this one ended."""
+def _ledger_report(spark: SparkSession, ledger: str, excluded: str) -> dict[str, int]:
+    """Units by current state; the failed ones are written as the exclusion log."""
+    rows = _read_if_present(spark.read.parquet, ledger)
+    if rows is None:
+        return {"done": 0, "retry": 0, "failed": 0}
+    now = ing.latest_state(rows)
+    ing.exclusions(now, "unit_id").write.mode("overwrite").parquet(excluded)
+    found = {r.state: r.n for r in now.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {s: found.get(s, 0) for s in ("done", "retry", "failed")}
+
+
+def stream_pages(spark: SparkSession, kind: str, landing_dir: str, raw_dir: str,
+                 max_files_per_trigger: int | None = None) -> dict[str, int]:
+    """Parse the ``kind`` responses (things, plays, users, collections) landed since
+    the last run into the raw tables. The stream's checkpoint, the ledger and the
+    exclusion log live beside the raw tables (shared storage), so the next run
+    resumes where this one ended. Returns the units by state."""
     from .streaming import ingest
     run = {"things": ingest.run_thing_page_stream, "plays": ingest.run_plays_page_stream,
-           "users": ingest.run_user_page_stream}[kind]
+           "users": ingest.run_user_page_stream, "collections": ingest.run_collection_page_stream}[kind]
     ledger = _join(raw_dir, f"{kind}_ledger")
-    run(spark, landing_dir, raw_dir, ledger, _join(raw_dir, f"_checkpoints/{kind}_pages"))
-    done = _read_if_present(spark.read.parquet, ledger)
-    return {"units_done": 0 if done is None else done.select("unit_id").distinct().count()}
-
-
-def stream_collections(spark: SparkSession, landing_dir: str, raw_dir: str) -> dict[str, int]:
-    """Parse the collection responses (one folder per user) landed since the last
-    run; then write raw item_info as the first row per objectid over all batches."""
-    from .streaming.ingest import read_collection_item_info, run_collection_page_stream
-    ledger = _join(raw_dir, "collection_ledger")
-    run_collection_page_stream(spark, landing_dir, raw_dir, ledger,
-                               _join(raw_dir, "_checkpoints/collection_pages"))
-    out = {"users_done": 0, "item_info": 0}
-    done = _read_if_present(spark.read.parquet, ledger)
-    if done is not None:
-        out["users_done"] = done.select("unit_id").distinct().count()
-        out["item_info"] = _write_counted(read_collection_item_info(spark, raw_dir),
-                                          _join(raw_dir, "item_info"), "item_info")
-    return out
+    run(spark, landing_dir, raw_dir, ledger, _join(raw_dir, f"_checkpoints/{kind}_pages"), max_files_per_trigger)
+    return _ledger_report(spark, ledger, _join(raw_dir, f"{kind}_excluded"))
+
+
+def work_list(spark: SparkSession, candidates: str, raw_dir: str, out: str, kind: str, key: str, sample: int | None = None,
+              seed: str = "work") -> dict[str, int]:
+    """Units of ``candidates`` (parquet, column ``key``) that are neither done nor
+    failed in the ``kind`` ledger (J5), written to ``out``. With ``sample`` the
+    candidates are first reduced to a seeded sample, frozen on the first run
+    beside ``out`` (M1, M2). Returns the progress counts (A10)."""
+    units = spark.read.parquet(candidates).select(key)
+    if sample is not None:
+        units = sampling.freeze(sampling.seeded_sample(units, key, sample, seed), f"{out.rstrip('/')}_sample")
+    ledger = _read_if_present(spark.read.parquet, _join(raw_dir, f"{kind}_ledger"))
+    empty = units.limit(0)
+    now = None if ledger is None else ing.latest_state(ledger).withColumnRenamed("unit_id", key)
+    done, failed = (empty if now is None else now.where(F.col("state") == s).select(key) for s in ("done", "failed"))
+    left = _write_counted(ing.todo_ids(units, done, failed, key), out, "work_list")
+    p = ing.progress(units, done, failed, key).first()
+    return {"sampled": p.sampled, "processed": p.processed, "excluded": p.excluded, "remaining": left}
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m stagehand.jobs")
     ap.add_argument("job", choices=["load-legacy", "load-raw", "stage", "check", "stream-things",
-                                    "stream-plays", "stream-users", "stream-collections"])
+                                    "stream-plays", "stream-users", "stream-collections", "work-list"])
     ap.add_argument("src")
     ap.add_argument("dst")
     ap.add_argument("--null-token-columns", default="",
                     help="comma-separated raw columns where tokens such as N/A, NULL, None mean missing")
+    ap.add_argument("--max-files-per-trigger", type=int, default=None,
+                    help="cut a stream run into batches of that many files (default: one batch of all that has landed)")
+    ap.add_argument("--candidates", help="work-list: parquet table of the units to fetch")
+    ap.add_argument("--kind", default="collections", help="work-list: whose ledger counts")
+    ap.add_argument("--key", default="user_id", help="work-list: id column of the candidates")
+    ap.add_argument("--sample", type=int, default=None, help="work-list: size of a seeded sample, frozen on the first run")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"stagehand-{a.job}").getOrCreate()
     tokens = [c for c in a.null_token_columns.split(",") if c]
@@ -198,10 +220,10 @@ def main(argv: Sequence[str] | None = None) -> None:
             out = load_raw_layer(spark, a.src, a.dst, tokens)
         elif a.job == "stage":
             out = stage_layer(spark, a.src, a.dst)
-        elif a.job in ("stream-things", "stream-plays", "stream-users"):
-            out = stream_pages(spark, a.job.split("-")[1], a.src, a.dst)
-        elif a.job == "stream-collections":
-            out = stream_collections(spark, a.src, a.dst)
+        elif a.job.startswith("stream-"):
+            out = stream_pages(spark, a.job.split("-")[1], a.src, a.dst, a.max_files_per_trigger)
+        elif a.job == "work-list":
+            out = work_list(spark, a.candidates, a.src, a.dst, a.kind, a.key, a.sample)
         else:
             out = check_layer(spark, a.src, a.dst)
     finally:

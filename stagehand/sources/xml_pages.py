@@ -9,6 +9,7 @@ missing field, like the collectors did; ``blanks_to_null`` gives the raw form.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,6 +178,36 @@ def thing_items_from_strings(df: DataFrame, xml_col: str, schema: str = THING_SC
     return df.select(F.from_xml(F.col(xml_col), schema, XML_OPTIONS).alias("item"))
 
 
+# --- whole responses --------------------------------------------------------------------
+
+BAD_COL = "_bad"
+_PROLOG = r"\A\s*+(?:<\?[^>]*+>\s*+|<!--(?:(?!-->)[\s\S])*+-->\s*+|<![A-Za-z][^>]*+>\s*+)*+"
+
+
+def parse_responses(df: DataFrame, body_col: str, root: str, schema: str, as_col: str = "pg") -> DataFrame:
+    """One whole response per row → its columns, struct ``as_col`` and ``body_ok``.
+
+    A body is good if it is well-formed XML with the root element ``root``: a cut
+    page, an error page, plain text and a missing body are not, and must go to
+    the ledger instead of becoming blank rows. An empty collection is good.
+    """
+    options = {**XML_OPTIONS, "columnNameOfCorruptRecord": BAD_COL}
+    parsed = F.from_xml(F.col(body_col), f"{schema}, {BAD_COL} string", options)
+    ok = (F.col(body_col).rlike(rf"{_PROLOG}<{root}[\s/>]") & F.col(f"{as_col}.{BAD_COL}").isNull())
+    return df.select("*", parsed.alias(as_col)).withColumn("body_ok", F.coalesce(ok, F.lit(False)))
+
+
+def items_schema(item_schema: str) -> str:
+    """Schema of an ``<items>`` response holding ``<item>`` elements of the given schema."""
+    fields = re.sub(r"(^|, )(\w+) (?=string|array<|struct<)", r"\1\2:", item_schema)
+    return f"_totalitems string, item array<struct<{fields}>>"
+
+
+def response_items(good: DataFrame, keep: list[str], page_col: str = "pg", as_col: str = "item") -> DataFrame:
+    """Good ``<items>`` responses → one row per ``<item>``; an empty response gives none."""
+    return _explode_parsed(good, keep, F.col(page_col)["item"], as_col)
+
+
 # --- response files ---------------------------------------------------------------------
 
 def read_page_files(spark: SparkSession, path: str, row_tag: str, schema: str, as_col: str,

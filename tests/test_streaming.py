@@ -1,6 +1,7 @@
 """Incremental landing survives restarts and replays."""
 from pyspark.sql import functions as F
 
+from stagehand.operators.ingest_state import latest_state
 from stagehand.streaming import ingest
 
 
@@ -25,13 +26,13 @@ def test_restart_and_idempotent_replay(spark, tmp_dir):
 
 def test_thing_page_stream_parses_only_new_responses(spark, tmp_dir):
     import os
-    from test_xml_parsers import THING
+    from test_xml_parsers import things
     land, raw, ledger, ckpt = (f"{tmp_dir}/{p}" for p in ("land", "raw", "ledger", "ckpt"))
     os.makedirs(land)
 
     def respond(i):
         with open(f"{land}/thing-{i}.xml", "w") as f:
-            f.write(THING.replace('id="9001"', f'id="{i}"'))
+            f.write(things(str(i)))
 
     respond(1), respond(2)
     ingest.run_thing_page_stream(spark, land, raw, ledger, ckpt, max_files_per_trigger=1)
@@ -43,7 +44,7 @@ def test_thing_page_stream_parses_only_new_responses(spark, tmp_dir):
     per_item = spark.read.parquet(f"{raw}/item_link").groupBy("objectid").count().collect()
     assert len({r["count"] for r in per_item}) == 1 and len(per_item) == 3
     assert spark.read.parquet(f"{raw}/item_rank").where(F.col("objectid") == "3").count() >= 1
-    assert sorted(r.unit_id for r in spark.read.parquet(ledger).collect()) == ["1", "2", "3"]
+    assert sorted(r.unit_id for r in spark.read.parquet(ledger).collect()) == ["thing-1", "thing-2", "thing-3"]
     assert spark.read.parquet(f"{raw}/item_details").select("batch_id").distinct().count() == 3
 
 
@@ -79,22 +80,69 @@ def test_collection_page_stream_first_seen_across_restarts(spark, tmp_dir):
 
 def test_plays_and_user_page_streams(spark, tmp_dir):
     import os
-    from test_xml_parsers import PLAYS, USER
+    from test_xml_parsers import plays_page, user_page
     land_p, land_u, raw, ckpt = (f"{tmp_dir}/{p}" for p in ("plays", "users", "raw", "ckpt"))
     os.makedirs(land_p), os.makedirs(land_u)
-    with open(f"{land_p}/sampleuser-1.xml", "w") as f:
-        f.write(PLAYS)
-    with open(f"{land_u}/sampleuser.xml", "w") as f:
-        f.write(USER)
+    put(f"{land_p}/kim-1.xml", plays_page("kim", 1, 5, ["11", "12", "13"]))
+    put(f"{land_u}/kim.xml", user_page("kim", country="Peru"))
     ingest.run_plays_page_stream(spark, land_p, raw, f"{raw}/plays_ledger", f"{ckpt}/plays")
     ingest.run_user_page_stream(spark, land_u, raw, f"{raw}/user_ledger", f"{ckpt}/users")
-    with open(f"{land_p}/other-1.xml", "w") as f:
-        f.write(PLAYS.replace('username="sampleuser"', 'username="other"').replace('id="50', 'id="60'))
+    put(f"{land_p}/lou-1.xml", plays_page("lou", 1, 1, ["21"]))
+    put(f"{land_p}/kim-2.xml", plays_page("kim", 2, 5, ["14", "15"]))
     ingest.run_plays_page_stream(spark, land_p, raw, f"{raw}/plays_ledger", f"{ckpt}/plays")
-    plays = spark.read.parquet(f"{raw}/user_play").collect()
-    assert sorted(r.play_id for r in plays) == ["501", "502", "601", "602"]
-    pages = {r.user_id: (r.page, r.rows, r.total) for r in spark.read.parquet(f"{raw}/play_pages").collect()}
-    assert pages == {"sampleuser": (1, 2, 3), "other": (1, 2, 3)}
-    assert sorted(r.unit_id for r in spark.read.parquet(f"{raw}/plays_ledger").collect()) == ["other", "sampleuser"]
+    assert sorted(r.play_id for r in spark.read.parquet(f"{raw}/user_play").collect()) == ["11", "12", "13", "14", "15", "21"]
+    pages = sorted((r.user_id, r.page, r.rows, r.total) for r in spark.read.parquet(f"{raw}/play_pages").collect())
+    assert pages == [("kim", 1, 3, 5), ("kim", 2, 2, 5), ("lou", 1, 1, 1)]
+    assert sorted(r.unit_id for r in spark.read.parquet(f"{raw}/plays_ledger").collect()) == ["kim-1", "kim-2", "lou-1"]
     u = spark.read.parquet(f"{raw}/user_info").first()
-    assert u.user_id == "sampleuser" and u.country == "Romania" and u.stateorprovince is None
+    assert u.user_id == "kim" and u.country == "Peru" and u.stateorprovince is None
+
+
+def put(path, body, age_days=0):
+    import os
+    import time
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(body)
+    when = time.time() - 86400 * age_days
+    os.utime(path, (when, when))
+
+
+def test_bad_cut_and_empty_responses_go_to_the_ledger(spark, tmp_dir):
+    from test_xml_parsers import collection, item
+    land, raw, ledger, ckpt = (f"{tmp_dir}/{p}" for p in ("land", "raw", "raw/ledger", "ckpt"))
+    run = lambda: ingest.run_collection_page_stream(spark, land, raw, ledger, ckpt)
+    good = collection(item("1"), item("2"))
+    put(f"{land}/whole/1.xml", good)
+    put(f"{land}/cut/1.xml", good[:-30])
+    put(f"{land}/text/1.xml", "Rate limit exceeded.")
+    put(f"{land}/html/1.xml", "<html><body>down for maintenance</body></html>")
+    put(f"{land}/none/1.xml", "")
+    put(f"{land}/empty/1.xml", collection())
+    run()
+    state = lambda: {r.unit_id: (r.state, r.reason) for r in latest_state(spark.read.parquet(ledger)).collect()}
+    bad = ("retry", "bad_body")
+    assert state() == {"whole": ("done", None), "empty": ("done", None), "cut": bad, "text": bad, "html": bad}   # a file of no bytes: still to be fetched
+    assert {r.user_id for r in spark.read.parquet(f"{raw}/user_item").collect()} == {"whole"}
+    put(f"{land}/cut/2.xml", good)                                  # fetched again, whole now
+    for k in range(2, 6):
+        put(f"{land}/text/{k}.xml", "Rate limit exceeded.")
+        run()
+    assert state()["cut"] == ("done", None) and state()["text"] == ("failed", "exhausted:bad_body")
+    assert state()["html"] == bad
+    assert spark.read.parquet(f"{raw}/user_item").count() == 4
+
+
+def test_late_old_file_is_read(spark, tmp_dir):
+    from test_xml_parsers import collection, item
+    land, raw = f"{tmp_dir}/land", f"{tmp_dir}/raw"
+    for k in range(12):
+        put(f"{land}/u{k}/1.xml", collection(item(str(k))))
+    run = lambda: ingest.run_collection_page_stream(spark, land, raw, f"{raw}/ledger", f"{tmp_dir}/ckpt")
+    run()
+    put(f"{land}/late/1.xml", collection(item("90")), age_days=30)
+    put(f"{land}/fresh/1.xml", collection(item("91")))
+    run()
+    done = {r.unit_id for r in spark.read.parquet(f"{raw}/ledger").collect()}
+    assert done == {f"u{k}" for k in range(12)} | {"late", "fresh"}
+    assert spark.read.parquet(f"{raw}/ledger").select("batch_id").distinct().count() == 2   # one batch per run
