@@ -133,11 +133,12 @@ def first_seen(df: DataFrame, key: str, order_cols: list[str], keep: list[str] |
 def page_completeness(pages: DataFrame, unit: str, page: str, rows: str, total: str) -> DataFrame:
     """Per unit: rows gathered vs declared total.
 
-    ``pages`` holds one row per fetched page (unit, page, rows, declared total).
-    The stop rule: a unit is complete once gathered ≥ declared, or a page came back
-    empty.
+    ``pages`` holds the fetched pages (unit, page, rows, declared total); a page
+    fetched again counts once, with the most rows it had. The stop rule: a unit is
+    complete once gathered ≥ declared, or a page came back empty.
     """
-    return (pages.groupBy(unit).agg(
+    once = pages.groupBy(unit, page).agg(F.max(rows).alias(rows), F.max(total).alias(total))
+    return (once.groupBy(unit).agg(
                 F.count(F.lit(1)).alias("pages"),
                 F.sum(rows).cast("bigint").alias("rows_gathered"),
                 F.max(total).cast("bigint").alias("rows_declared"),

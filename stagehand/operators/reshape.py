@@ -33,13 +33,21 @@ def conform(df: DataFrame, fields: Sequence[str], fill: str | None = "",
     return df.select(*cols)
 
 
+def require(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Exactly ``fields`` in order (P1); a missing one raises, it is never filled."""
+    missing = [c for c in fields if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {df.columns}")
+    return conform(df, fields)
+
+
 def adapt_user_info(df: DataFrame) -> DataFrame:
     """Legacy users → raw user_info (drops names, avatar, web and console accounts)."""
-    return conform(df, RAW_FIELDS["user_info"])
+    return require(df, RAW_FIELDS["user_info"])
 
 
 def adapt_item_info(df: DataFrame) -> DataFrame:
-    return conform(df, RAW_FIELDS["item_info"])
+    return require(df, RAW_FIELDS["item_info"])
 
 
 def adapt_user_item(df: DataFrame) -> DataFrame:

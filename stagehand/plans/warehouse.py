@@ -122,14 +122,15 @@ def quality_checklist(raw: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def checklist_reports(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Row-level reports of the checklist: offending keys and top-20 histograms."""
-    ui, ii, uit, det, lnk = (raw[t] for t in ("user_info", "item_info", "user_item", "item_details", "item_link"))
-    return {
-        "duplicate_user_ids": qa.duplicate_keys(ui, "user_id"),
-        "duplicate_objectids": qa.duplicate_keys(ii, "objectid"),
-        "user_rating_out_of_range": qa.top_values(uit, "user_rating", _rating_bad()),
-        "avg_weights_out_of_range": qa.top_values(det, "avg_weights", _weight_bad()),
-        "yearpublished_out_of_range": qa.top_values(ii, "yearpublished", _year_bad()),
-        "own_counts": qa.group_counts(uit, "own"),
-        "non_numeric_ref_id": qa.top_values(lnk, "ref_id", _refid_bad()),
+    """Row-level reports of the checklist: offending keys and top-20 histograms, of
+    the tables that ``raw`` has."""
+    reports = {
+        "duplicate_user_ids": ("user_info", lambda t: qa.duplicate_keys(t, "user_id")),
+        "duplicate_objectids": ("item_info", lambda t: qa.duplicate_keys(t, "objectid")),
+        "user_rating_out_of_range": ("user_item", lambda t: qa.top_values(t, "user_rating", _rating_bad())),
+        "avg_weights_out_of_range": ("item_details", lambda t: qa.top_values(t, "avg_weights", _weight_bad())),
+        "yearpublished_out_of_range": ("item_info", lambda t: qa.top_values(t, "yearpublished", _year_bad())),
+        "own_counts": ("user_item", lambda t: qa.group_counts(t, "own")),
+        "non_numeric_ref_id": ("item_link", lambda t: qa.top_values(t, "ref_id", _refid_bad())),
     }
+    return {name: report(raw[t]) for name, (t, report) in reports.items() if t in raw}

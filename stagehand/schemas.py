@@ -36,7 +36,7 @@ RAW_FIELDS: dict[str, list[str]] = {
 STATUS_FLAG_KEYS = ["own", "prevowned", "fortrade", "want", "wanttoplay", "wanttobuy",
                     "wishlist", "wishlistpriority", "preordered", "lastmodified"]
 
-# Work-list tables of the ingest ledger.
+# Work-list tables of the ingest ledger.
 WORK_FIELDS: dict[str, list[str]] = {
     "user_list": ["user_id"],
     "sample_users": ["user_id"],
@@ -52,7 +52,7 @@ def raw_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in fields])
 
 
-# Staged types per raw column. Kinds: str, int, double, date, datetime, flag,
+# Staged types per raw column. Kinds: str, int, double, date, datetime, flag,
 # rank (int with the "Not Ranked" token nulled), rating (double with "N/A" nulled).
 STAGED_KINDS: dict[str, dict[str, str]] = {
     "user_info": {"user_id": "str", "yearregistered": "int", "lastlogin": "date",

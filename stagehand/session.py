@@ -62,24 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_generation = 0
-
-
-def scratch_generation() -> int:
-    """Bumped by every ``drop_scratch``: a cache of frames over scratch tables keys on it."""
-    return _generation
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call once every result is written:
     frames read from scratch are lazy and need their files until then)."""
-    global _generation
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         return
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir().rstrip('/')}/scratch")
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    _generation += 1
 
 
 def materialize(df, name: str):

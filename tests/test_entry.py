@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
 from conftest import SF_SMALL, plan_text  # noqa: E402
+from stagehand.plans import catalog  # noqa: E402
 from stagehand.sources.testdata import TABLES  # noqa: E402
 from scripts.check_oracle import digest  # noqa: E402
 
@@ -21,8 +22,21 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) >= 50
+    assert set(catalog.QUERIES) == set(catalog.ORACLE) <= set(entry.oracle_sql())
+    assert set(catalog.QUERIES) <= set(entry.queries()) and len(catalog.QUERIES) >= 70
+
+
+def test_entry_without_the_training_data_part(tmp_path):
+    """The rest imports and keeps its queries where that part's folders are absent."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/stagehand", tmp_path / "stagehand", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(e.llm, len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.split() == ["None", str(len(catalog.QUERIES)), str(len(catalog.ORACLE))]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +47,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF_SMALL)
     plan = plan_text(sdf)

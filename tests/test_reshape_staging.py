@@ -31,27 +31,27 @@ def test_adapters(spark):
 
 def test_unpivot_links(spark):
     df = spark.createDataFrame([
-        ("10", "[('1050', 'Ancient'), ('1022', 'Adventure')]", "[('2001', 'Dice')]", "", "[('9', 'x', 'y')]"),
+        ("10", "[('771', 'Heist'), ('88', 'Sailing')]", "[('2001', 'Dice')]", "", "[('9', 'x', 'y')]"),
         ("11", "[]", None, "[('7', \"Tom's\")]", "[('1', 'a')"),
     ], "objectid string, category string, mechanic string, designer string, artist string")
     details, links = reshape.adapt_item_details(df.withColumn("name", F.lit("n")).withColumn("minage", F.lit("8"))
                                                 .withColumn("description", F.lit("d")).withColumn("avg_weights", F.lit("2")))
     got = sorted((r.objectid, r.link_type, r.ref_id, r.value) for r in links.collect())
-    assert got == [("10", "boardgamecategory", "1022", "Adventure"), ("10", "boardgamecategory", "1050", "Ancient"),
+    assert got == [("10", "boardgamecategory", "771", "Heist"), ("10", "boardgamecategory", "88", "Sailing"),
                    ("10", "boardgamemechanic", "2001", "Dice"), ("11", "boardgamedesigner", "7", "Tom's")]
     assert details.columns == RAW_FIELDS["item_details"] and details.first().yearpublished == ""
 
 
 def test_stage_user_item_rules(spark):
     raw = spark.createDataFrame([
-        ("u", "1", "N/A", "0", None, "1", "0", None, "", "", "", "1", "3", "", "2016-05-31 22:30:02"),
+        ("u", "1", "N/A", "0", None, "1", "0", None, "", "", "", "1", "3", "", "2020-02-11 08:15:44"),
         ("u", "2", None, "5", "hi", "1", "", "", "", "", "", "", "", "", None),
     ], raw_schema("user_item"))
     rows = staging.stage_table(raw, "user_item").orderBy("objectid").collect()
     assert rows[0].user_rating is None and rows[1].user_rating is None   # not rated ≠ 0
     assert rows[0].own is True and rows[0].prevowned is False and rows[0].fortrade is None
     assert rows[0].wishlist is True and rows[0].wishlistpriority == 3
-    assert str(rows[0].lastmodified) == "2016-05-31 22:30:02" and rows[1].lastmodified is None
+    assert str(rows[0].lastmodified) == "2020-02-11 08:15:44" and rows[1].lastmodified is None
     assert rows[1].numplays == 5
 
 
@@ -99,3 +99,12 @@ def test_create_table_as_clustered(spark, tmp_dir):
     staging.create_table_as(spark, df, "stg_test_ctas", path=tmp_dir + "/ctas", cluster_key="objectid", partitions=4)
     staging.create_table_as(spark, df, "stg_test_ctas", path=tmp_dir + "/ctas", cluster_key="objectid", partitions=4)
     assert spark.table("stg_test_ctas").count() == 1000          # replace, not append
+
+
+def test_legacy_adapters_never_fill_a_missing_column(spark):
+    import pytest
+    for adapt, table in ((reshape.adapt_user_info, "user_info"), (reshape.adapt_item_info, "item_info")):
+        whole = spark.createDataFrame([tuple("x" for _ in RAW_FIELDS[table])], raw_schema(table))
+        assert adapt(whole.withColumn("avatar", F.lit("a.png"))).columns == RAW_FIELDS[table]
+        with pytest.raises(ValueError, match=RAW_FIELDS[table][-1]):
+            adapt(whole.drop(RAW_FIELDS[table][-1]))

@@ -18,11 +18,11 @@ def raw(spark):
                                      ("2", "B", "2015", "1", "2.5", "", "", "", "50", "abc", "", "", "12"),
                                      ("3", "C", "", "", "", "", "", "", "", "", "", "", "")]),
         "user_item": t("user_item", [("u1", "1", "N/A", "0", None, "1", "0", "0", "0", "0", "0", "1", "3", "0",
-                                      "2016-05-31 22:30:02"),
+                                      "2020-02-11 08:15:44"),
                                      ("u1", "1", "8", "2", 'said "hi"\nbye', "1", "", "", "", "", "", "", "", "", None),
                                      ("u2", "9", "11", "1", None, "1", "", "", "", "", "", "", "", "", None)]),
         "item_details": t("item_details", [("1", "A", None, "8", "d", "2.5"), ("2", "B", "2015", "x", "d", "7")]),
-        "item_link": t("item_link", [("1", "boardgamecategory", "1050", "Ancient"),
+        "item_link": t("item_link", [("1", "boardgamecategory", "771", "Heist"),
                                      ("1", "boardgamemechanic", "x1", "Dice"),
                                      ("4", "boardgamepublisher", "3", "P")]),
     }
@@ -57,7 +57,7 @@ def test_staging_layer(raw):
     assert det["1"].yearpublished == 1500 and det["2"].minage is None
     ui = stg["stg_user_item"].collect()
     assert sorted(str(r.user_rating) for r in ui) == ["11.0", "8.0", "None"]
-    assert [r.category for r in stg["item_category"].collect()] == ["Ancient"]
+    assert [r.category for r in stg["item_category"].collect()] == ["Heist"]
     assert stg["item_mechanic"].first().mechanic_id is None
     reports = warehouse.checklist_reports(raw)
     assert [tuple(r) for r in reports["user_rating_out_of_range"].collect()] == [("11", 1)]
