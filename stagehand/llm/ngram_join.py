@@ -302,16 +302,18 @@ def divide_skip(sizes: np.ndarray, tokens: list[np.ndarray], percent: int) -> li
                                & (percent * sizes[:r] <= 100 * sizes[r]))
         if not len(close):
             continue
-        close = close[np.argsort(-count[close], kind="stable")]
-        for s in close.tolist():
-            if sets.find(s) == sets.find(r):
-                continue
-            overlap = int(count[s])
-            for k in long_.tolist():  # binary probes
-                p = at[k] + np.searchsorted(posting[at[k]:ends[k]], s)
-                overlap += bool(p < ends[k] and posting[p] == s)
-            if 100 * overlap >= percent * (int(sizes[r]) + int(sizes[s]) - overlap):
-                sets.join(r, s)
+        close = close[[sets.find(s) != sets.find(r) for s in close.tolist()]]
+        overlap = count[close]
+        least = -(-percent * (int(sizes[r]) + sizes[close]) // (100 + percent))
+        for left, k in zip(range(len(long_), 0, -1), long_, strict=True):  # binary probes
+            open_ = overlap + left >= least
+            close, overlap, least = close[open_], overlap[open_], least[open_]
+            if not len(close):
+                break
+            own = posting[at[k]:ends[k]]
+            overlap = overlap + (own[np.minimum(np.searchsorted(own, close), len(own) - 1)] == close)
+        for s in close[overlap >= least].tolist():
+            sets.join(r, s)
     return [sets.find(i) for i in range(n)]
 
 
