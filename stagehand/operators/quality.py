@@ -112,7 +112,15 @@ def range_violation(col: str, kind: str, lo, hi, guard: Column | None = None) ->
 
 def range_violations(df: DataFrame, col: str, kind: str, lo, hi,
                      guard: Column | None = None, top: int = 20) -> DataFrame:
-    return top_values(df, col, range_violation(col, kind, lo, hi, guard), top)
+    """Top histogram of the values that fail the cast or lie outside [lo, hi] (P8 + A3).
+
+    Values are counted first and only distinct ones are tested: the test names the
+    count, so the optimizer does not move it below the aggregate.
+    """
+    src = df if guard is None else df.where(guard)
+    counts = src.groupBy(col).agg(F.count(_one()).alias("n"))
+    bad = F.when(F.col("n") > 0, range_violation(col, kind, lo, hi))
+    return counts.where(bad).orderBy(F.col("n").desc(), F.col(col).asc_nulls_last()).limit(top)
 
 
 def group_counts(df: DataFrame, col: str, count_col: str = "n") -> DataFrame:

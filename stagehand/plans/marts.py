@@ -99,17 +99,18 @@ def monthly_retention(activity: DataFrame, user: str, ts_col: str) -> DataFrame:
     """True monthly cohort retention from an activity log (D3; definition ours).
 
     cohort = month of a user's first activity; offset = whole months from the
-    cohort month to an active month. (user, month) pairs are distinct before the
-    join, so a very active user contributes at most one row per month.
+    cohort month to an active month. One scan: (user, month) pairs are distinct
+    first, so a very active user has one row per month, and the window over a
+    user is bounded by the months. Everyone is active in the first month, so the
+    cohort's size is its row at offset 0.
     """
     months = activity.select(user, F.trunc(F.col(ts_col), "month").alias("month")).distinct()
-    cohort = months.groupBy(user).agg(F.min("month").alias("cohort_month"))
-    j = months.join(cohort, on=user)
-    per = (j.select("cohort_month",
-                    F.months_between("month", "cohort_month").cast("int").alias("month_offset"))
-             .groupBy("cohort_month", "month_offset").agg(F.count(_one()).alias("active_users")))
-    size = cohort.groupBy("cohort_month").agg(F.count(_one()).alias("cohort_size"))
-    return (per.join(size, on="cohort_month")
+    first = F.min("month").over(Window.partitionBy(user))
+    per = (months.select("month", first.alias("cohort_month"))
+                 .select("cohort_month", F.months_between("month", "cohort_month").cast("int").alias("month_offset"))
+                 .groupBy("cohort_month", "month_offset").agg(F.count(_one()).alias("active_users")))
+    size = F.max(F.when(F.col("month_offset") == 0, F.col("active_users"))).over(Window.partitionBy("cohort_month"))
+    return (per.withColumn("cohort_size", size)
                .select("cohort_month", "month_offset", "active_users", "cohort_size",
                        rate(F.col("active_users"), F.col("cohort_size")).alias("retention")))
 
