@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagehand.llm import decontaminate, importance, line_dedup, ngram_join, queries
-from stagehand.llm.common import read_table
+from stagehand.llm.common import bound_batches, read_table
 from stagehand.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,11 +30,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave all documents but the one with the smallest id."""
+    bound_batches(spark)
     return _sized(line_dedup.drop_lines(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -44,6 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return queries.pack(docs)
 
 

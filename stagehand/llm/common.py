@@ -9,7 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session. Spark's default of
+    10,000 is meant for narrow rows; of whole texts it makes batches of tens of MB,
+    held in the JVM's direct memory and again in every Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables, for operators on its texts."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
