@@ -19,8 +19,8 @@ anchors. Runs of windows with the same anchor form a cell (a text of
    ``length`` bytes are repeated; they are verified byte by byte, and where a
    hash collision shows, the suffixes of that anchor are sorted as bytes.
 4. anchors with over ``hot_cells`` cells (an edge of a passage that very many
-   texts share) are not gathered: their windows are counted by digest instead,
-   pre-aggregated map-side.
+   texts share) are not gathered: their windows are dealt by digest instead, as
+   many small buckets as they need, and compared there.
 
 Scale: what is shuffled are anchors (one per about 37 bytes), the cells of
 repeated anchors, and each text twice, compressed; copies of a text are dealt
@@ -50,7 +50,9 @@ from stagehand.session import materialize
 #: Bytes of a text that are hashed at a time (positions must fit in 24 bits).
 _CHUNK = 4 << 20
 #: Anchors of a bucket: bounds the arrays of one task.
-_BUCKET_ANCHORS = 3_000_000
+_BUCKET_ANCHORS = 1_500_000
+#: Windows of hot anchors of a bucket.
+_HOT_WINDOWS = 500_000
 #: Bytes of cells that are sorted at a time, unless one anchor has more.
 _SORT_BYTES = 1 << 20
 
@@ -74,7 +76,7 @@ class PrefixHashes:
     def __init__(self, data: np.ndarray):
         n = len(data)
         if len(PrefixHashes._up) <= n:
-            size = 1 << n.bit_length()
+            size = n + n // 4 + 1024
             PrefixHashes._up = _powers(_BASE, size)
             PrefixHashes._down = _powers(pow(_BASE, -1, 1 << 64), size)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
@@ -152,8 +154,8 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, most: int)
     pair = pair[hashes.common(starts[order[pair]], starts[order[pair + 1]], most) == most]
     wrong: list[np.ndarray] = []
     span = np.arange(most)
-    for k in range(0, len(pair), 50_000):
-        a, b = order[pair[k:k + 50_000]], order[pair[k:k + 50_000] + 1]
+    for k in range(0, len(pair), 4000):
+        a, b = order[pair[k:k + 4000]], order[pair[k:k + 4000] + 1]
         same = (data[starts[a][:, None] + span] == data[starts[b][:, None] + span]).all(axis=1)
         out[a[same]] = out[b[same]] = True
         if not same.all():
@@ -232,7 +234,7 @@ def _anchors(length: int, gram: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in slices(batches, 6000, max_bytes=8 << 20):
+        for b in slices(batches, 6000, max_bytes=4 << 20):
             keys, cells = [], []
             for text in b.column(1).to_pylist():
                 raw = text.encode()
@@ -299,17 +301,26 @@ def _repeated_anchors(hot_cells: int):
                         fresh[i] = True
                 take = np.repeat(fresh, counts)
                 parts.append((digests[fresh], counts[fresh], anchor[take], *(x[take] for x in rest)))
-            digests, counts, anchor, start, windows, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            digests, counts, anchor, *rest = ([p[k] for p in parts] for k in range(6))
             del parts
+            anchor = np.concatenate(anchor)
             order = np.argsort(anchor, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+            anchor = anchor[order]
+            twice = anchor[1:] == anchor[:-1]
+            del anchor
+            first = np.flatnonzero(np.concatenate([[True], ~twice]))
             size = np.diff(first, append=len(order))
-            often = np.empty(len(anchor), dtype=np.int64)
-            often[order] = np.repeat(size, size)
-            keep = np.flatnonzero(often > 1)
+            often = size > 1
+            keep, hot = order[np.repeat(often, size)], np.repeat(size[often] > hot_cells, size[often])
+            del order, twice, first, size
+            by_place = np.argsort(keep, kind="stable")  # cells of a text stand together again
+            keep, hot = keep[by_place], hot[by_place]
             cells = np.empty(len(keep), dtype=cell)
-            cells["start"], cells["windows"], cells["place"], cells["hot"] = start[keep], windows[keep], place[keep], often[keep] > hot_cells
-            owner = np.repeat(np.arange(len(digests)), counts)[keep]
+            for name in ("start", "windows", "place"):
+                cells[name] = np.concatenate(rest.pop(0))[keep]
+            cells["hot"] = hot
+            digests, counts = np.concatenate(digests), np.concatenate(counts)
+            owner = np.searchsorted(np.cumsum(counts, dtype=np.int64), keep, side="right")
             at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
             ends = np.append(at[1:], len(owner))
             for k in range(0, len(at), 2000):
@@ -407,18 +418,53 @@ def _sort_cells(length: int):
     return run
 
 
-def _hot_windows(length: int):
+def _hot_windows(length: int, buckets: int):
+    """Cells of hot anchors -> (bucket, parcel): digests of all their windows, many to a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for digest, windows, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = [xxhash.xxh3_128_digest(content[i:i + length]) for i in range(windows)]
-                h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-                yield pa.record_batch({"h1": h[:, 0], "h2": h[:, 1], "cell": pa.array([digest] * windows, pa.binary()),
-                                       "nth": pa.array(range(windows), pa.int32())})
+            for at in range(0, b.num_rows, 2000):
+                cells, windows, contents = (c.to_pylist() for c in b.slice(at, 2000).columns)
+                keys = [xxhash.xxh3_128_digest(x[i:i + length]) for x, n in zip(contents, windows, strict=True) for i in range(n)]
+                h = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+                owner = np.repeat(np.arange(len(cells)), windows)
+                rows = np.empty(len(h), dtype=_HOT_ROW)
+                rows["h1"], rows["h2"], rows["cell"] = h[:, 0], h[:, 1], np.array(cells, dtype="V16")[owner]
+                rows["nth"] = np.arange(len(h)) - np.repeat(np.cumsum(windows) - windows, windows)
+                bucket = h[:, 0] % np.uint64(buckets)
+                for k in np.unique(bucket).tolist():
+                    yield pa.record_batch({"bucket": pa.array([k], pa.int32()), "parcel": pa.array([rows[bucket == k].tobytes()], pa.binary())})
 
     return run
 
 
+_HOT_ROW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("cell", "V16"), ("nth", "u1")])
+
+
+def _hot_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's windows -> (cell, first and last window) of those that two cells or more share."""
+    by_bucket: dict[int, list[bytes]] = {}
+    for b in batches:
+        for bucket, parcel in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by_bucket.setdefault(bucket, []).append(parcel)
+    for parcels in by_bucket.values():
+        rows = np.frombuffer(b"".join(parcels), dtype=_HOT_ROW)
+        names, cell = np.unique(rows["cell"], return_inverse=True)
+        order = np.lexsort((cell, rows["h2"], rows["h1"]))
+        h1, h2, cell, nth = rows["h1"][order], rows["h2"][order], cell[order], rows["nth"][order]
+        first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+        last = np.append(first[1:], len(order)) - 1
+        shared = np.repeat(cell[first] != cell[last], last - first + 1)
+        cell, nth = cell[shared], nth[shared]
+        order = np.lexsort((nth, cell))
+        cell, nth = cell[order], nth[order]
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else cell
+        end = np.append(at[1:], len(cell)) - 1
+        for k in range(0, len(at), 20_000):
+            a, z = at[k:k + 20_000], end[k:k + 20_000]
+            yield pa.record_batch({"cell": pa.array([names[i].tobytes() for i in cell[a]], pa.binary()),
+                                   "lo": pa.array(nth[a], pa.int32()), "hi": pa.array(nth[z], pa.int32())})
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their spans -> class, removed bytes, maximal runs, digest of the rest."""
     for key, blobs, text in _with_texts(batches):
@@ -439,7 +485,7 @@ def repeated_spans(df: DataFrame, total_bytes: int, id_col: str, text_col: str,
     """(class, from, to): byte ranges that repeated strings cover, for each different text (class)."""
     rows = id_and_text(df, id_col, text_col)
     buckets = 1 << max(0, math.ceil(math.log2(max(1, total_bytes * 2 / (length - gram + 2)) / _BUCKET_ANCHORS)))
-    anchors = rows.mapInArrow(_anchors(length, gram, buckets), "bucket int, parcel binary").repartition(buckets, "bucket")
+    anchors = rows.mapInArrow(_anchors(length, gram, buckets), "bucket int, parcel binary").repartitionById(buckets, "bucket")
     find = _repeated_anchors(hot_cells)
     cells = anchors.mapInArrow(find, "class binary, kind int, data binary")
     texts = rows.mapInArrow(_texts(length), "class binary, kind int, data binary")
@@ -450,12 +496,14 @@ def repeated_spans(df: DataFrame, total_bytes: int, id_col: str, text_col: str,
     fresh = cut.filter("content IS NOT NULL")
     sorted_ = fresh.filter("NOT hot").select("anchor", "cell", "windows", "place", "content").repartition("anchor") \
         .sortWithinPartitions("anchor").mapInArrow(_sort_cells(length), "cell binary, lo int, hi int")
-    windows = fresh.filter("hot").select("cell", "windows", "content").mapInArrow(
-        _hot_windows(length), "h1 long, h2 long, cell binary, nth int")
-    twice = windows.groupBy("h1", "h2").agg(F.min(F.xxhash64("cell")).alias("a"), F.max(F.xxhash64("cell")).alias("z")).filter("a <> z")
-    hot = windows.join(twice.select("h1", "h2"), ["h1", "h2"]).groupBy("cell").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    n_hot = fresh.filter("hot").agg(F.sum("windows")).first()[0] or 0
+    hot_buckets = 1 + n_hot // _HOT_WINDOWS
+    hot = fresh.filter("hot").select("cell", "windows", "content").mapInArrow(
+        _hot_windows(length, hot_buckets), "bucket int, parcel binary").repartitionById(hot_buckets, "bucket").mapInArrow(
+        _hot_repeats, "cell binary, lo int, hi int")
     found = sorted_.unionAll(hot).groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    verdict = counts.join(found, "cell", "left").filter("n > 1 OR lo IS NOT NULL")
+    # written, so that the join below has a shuffle of its own on either side and a hot cell can be split
+    verdict = materialize(counts.join(found, "cell", "left").filter("n > 1 OR lo IS NOT NULL"), "verdict")
     all_ = F.col("n") > 1
     lo = F.when(all_, 0).otherwise(F.col("lo"))
     hi = F.when(all_, F.col("windows") - 1).otherwise(F.col("hi"))
