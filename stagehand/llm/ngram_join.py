@@ -122,7 +122,7 @@ def _deal(n: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in slices(batches, 6000, max_bytes=12 << 20):
+        for b in slices(batches, 6000, max_bytes=4 << 20):
             digests, sets = [], []
             for text in b.column(1).to_pylist():
                 h = shingles(text, n)
@@ -164,11 +164,11 @@ def _shared(shards: int):
         for bucket, parcels in by_bucket.items():
             numbers: dict[bytes, int] = {}
             all_digests, all_sizes, all_tokens, all_owners = [], [], [], []
-            for parcel in parcels:
-                digests, sizes, counts, tokens, _ = _unparcel(parcel, False)
+            while parcels:
+                digests, sizes, counts, tokens, _ = _unparcel(parcels.pop(), False)
                 raw = digests.tobytes()
                 fresh = np.zeros(len(digests), dtype=bool)
-                number = np.zeros(len(digests), dtype=np.int64)
+                number = np.zeros(len(digests), dtype=np.int32)
                 for i in range(len(digests)):
                     key = raw[16 * i:16 * i + 16]
                     if key not in numbers:
@@ -181,19 +181,23 @@ def _shared(shards: int):
                 all_owners.append(np.repeat(number, counts)[take])
             digests, sizes = np.concatenate(all_digests), np.concatenate(all_sizes)
             tokens, owners = np.concatenate(all_tokens), np.concatenate(all_owners)
+            del numbers, all_digests, all_sizes, all_tokens, all_owners
             order = np.argsort(tokens, kind="stable")
-            at = _group_starts(tokens[order])
-            length = np.zeros(len(tokens), dtype=np.int64)
-            length[order] = np.repeat(np.diff(at, append=len(tokens)), np.diff(at, append=len(tokens)))
-            keep = np.flatnonzero(length >= 2)
-            if not len(keep):
+            tokens = tokens[order]
+            at = _group_starts(tokens)
+            length = np.diff(at, append=len(tokens))
+            often = length > 1
+            mask = np.repeat(often, length)
+            tokens, owners, length = tokens[mask], owners[order[mask]], np.repeat(length[often], length[often])
+            del order, mask, at
+            if not len(tokens):
                 continue
             shard_of = np.frombuffer(digests.tobytes(), "<u8").reshape(-1, 2)[:, 0] % np.uint64(shards)
-            keep = keep[np.lexsort((owners[keep], shard_of[owners[keep]]))]
-            ends = np.searchsorted(shard_of[owners[keep]], np.arange(shards + 1, dtype=np.uint64))
+            by_shard = np.lexsort((owners, shard_of[owners]))
+            ends = np.searchsorted(shard_of[owners[by_shard]], np.arange(shards + 1, dtype=np.uint64))
             out_s, out_p = [], []
             for s in range(shards):
-                part = keep[ends[s]:ends[s + 1]]
+                part = by_shard[ends[s]:ends[s + 1]]
                 if len(part):
                     own = owners[part]
                     at = _group_starts(own)
@@ -335,8 +339,8 @@ def class_links(df: DataFrame, n_shingles: int, id_col: str, text_col: str, n: i
     all links: a forest, not every pair. ``n_shingles``: of all documents together."""
     buckets = 1 << max(0, math.ceil(math.log2(max(1, n_shingles) / _BUCKET_SHINGLES)))
     deal = id_and_text(df, id_col, text_col).mapInArrow(_deal(n, buckets), "bucket int, parcel binary")
-    shared = deal.repartition(buckets, "bucket").mapInArrow(_shared(buckets), "shard int, bucket int, parcel binary")
-    alive = materialize(shared.repartition(buckets, "shard").mapInArrow(
+    shared = deal.repartitionById(buckets, "bucket").mapInArrow(_shared(buckets), "shard int, bucket int, parcel binary")
+    alive = materialize(shared.repartitionById(buckets, "shard").mapInArrow(
         _survivors(percent), "class binary, size long, prefix long, tokens binary"), "join-survivors")
     tokens = alive.select("class", "prefix", "tokens").mapInArrow(_prefix_tokens, "token long, class binary")
     heads = tokens.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("n")).filter("n > 1")
