@@ -58,6 +58,7 @@ _SORT_BYTES = 1 << 20
 
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_DEAL = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -193,6 +194,17 @@ def cells_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets (a power of two) of anchor hashes. An anchor is the least hash of
+    its window, so its own top bits are nearly always 0: they are mixed anew."""
+    if buckets == 1:
+        return np.zeros(len(anchor), dtype=np.int64)
+    h = anchor * _DEAL
+    h ^= h >> np.uint64(32)
+    h *= _DEAL
+    return (h >> np.uint64(64 - int(math.log2(buckets)))).astype(np.int64)
+
+
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -230,8 +242,6 @@ def _texts(length: int, seen_limit: int = 500_000):
 def _anchors(length: int, gram: int, buckets: int):
     """Texts -> (bucket, parcel). A parcel: class digests, cells per class (u4), then
     of each cell the anchor hash (8 bytes), start (u4 low, u2 high), windows and anchor place (u1 each)."""
-    shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in slices(batches, 6000, max_bytes=4 << 20):
@@ -250,7 +260,7 @@ def _anchors(length: int, gram: int, buckets: int):
                 continue
             digests, owner = np.array(keys, dtype="V16"), np.repeat(np.arange(len(keys)), [len(c[0]) for c in cells])
             start, windows, place, anchor = (np.concatenate(x) for x in zip(*cells, strict=True))
-            bucket = (anchor >> shift).astype(np.int64) if shift is not None else np.zeros(len(anchor), dtype=np.int64)
+            bucket = bucket_of(anchor, buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out_b, out_p = [], []

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward_texts, clashing, docs, jaccard_components, removed_strings, rows_of, sha
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def test_text_in_chunks(monkeypatch):
     assert covered == list(range(4801)) and set(whole[0] + whole[2]) == set(parts[0] + parts[2])
 
 
+@pytest.mark.parametrize("buckets", [16, 64])
+def test_anchors_are_dealt_evenly(buckets):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 4000, dtype=np.uint8)).decode() for _ in range(300)]
+    batch = pa.record_batch({"_id": pa.array(range(300), pa.int64()), "_text": texts})
+    size = np.zeros(buckets)
+    for b in suffix_dedup._anchors(200, 128, buckets)(iter([batch])):
+        for k, parcel in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            size[k] += len(suffix_dedup._unparcel(parcel)[2])
+    assert size.sum() > 30_000 and size.max() < 1.3 * size.mean() and size.min() > 0.7 * size.mean()
+
+
 def test_suffix_sort_orders_and_survives_collisions(monkeypatch):
     data = np.frombuffer(b"abracadabra" * 8 + b"abracadabrx" * 3 + b"\x00" * 20, dtype=np.uint8)
     starts, group = np.arange(len(data) - 12), np.zeros(len(data) - 12, dtype=np.int64)
