@@ -165,7 +165,7 @@ def _pass(shared, last: bool, carry: bool):
                 hits += zip(old_from, old_to, strict=True)
                 found |= set(old_items)
                 if not last:
-                    out.append(([a for a, _ in hits], [z for _, z in hits], sorted(found)))
+                    out.append(([a for a, _ in hits], [z for _, z in hits], list(found)))
                     continue
                 hits = merge(hits)
                 n_hit = sum(z - a for a, z in hits)

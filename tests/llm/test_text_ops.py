@@ -131,6 +131,13 @@ def test_spans_are_removed(spark, block):
     assert decontaminate.remove_hits(df, bench, max_hit_share=0.5).count() < len(rows)
 
 
+def test_a_nameless_and_a_numbered_item_in_one_document(spark):
+    bench = [*BENCH, (None, "other nameless item")]
+    rows = [(1, "one nameless item text, a rare token pair, other nameless item; ünï 42 código"), (2, "nothing")]
+    got = decontaminate.find_hits(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), max_block_bytes=1)
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(hits_of(rows, bench), key=repr)
+
+
 def test_empty_benchmark_and_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.find_hits(docs(spark, awkward_texts()), none)
