@@ -6,8 +6,8 @@ words, but not none, is one window. Every word of a document inside any
 occurrence of a window is hit. The window hashes are broadcast as a sorted
 array; hash hits are verified word by word before they count.
 
-The benchmark is broadcast only in blocks whose measured text is at most
-``max_block_bytes``; a larger benchmark is held against the corpus block by
+The benchmark is broadcast only in blocks of at most ``max_block_words`` words
+(so no more windows) and ``max_block_bytes`` bytes of them; a larger benchmark is held against the corpus block by
 block (a stated query set against all rows) and the hits of the blocks are
 merged, so the result does not depend on the number of blocks.
 
@@ -41,46 +41,86 @@ def words_of(text: str) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of one benchmark block: word numbers, hashes per window length, items per window."""
+    """Windows of one benchmark block in arrays: the word numbers of its pieces one
+    after the other and, per window length, the sorted hashes of the different
+    windows, the place of each in the words, and its items. Some tens of bytes a
+    window; besides them only the different words are Python objects."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
+    def __init__(self, pieces: list[tuple[int | None, list[bytes]]], n: int):
         self.vocab: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[int | None]] = {}
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text or "")]
-            for i in range(max(1, len(ids) - n + 1)) if ids else ():
-                self.items.setdefault(tuple(ids[i:i + n]), set()).add(item_id)
-        self.hashes = {m: np.unique(self._hash(np.array([w for w in self.items if len(w) == m], dtype=np.uint64)))
-                       for m in {len(w) for w in self.items}}
+        number = self.vocab.setdefault
+        parts = [np.fromiter((number(w, len(self.vocab) + 1) for w in words), dtype=np.uint32, count=len(words)) for _, words in pieces]
+        self.words = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        self.item = np.array([i or 0 for i, _ in pieces], dtype=np.int64)
+        self.nameless = np.array([i is None for i, _ in pieces], dtype=bool)
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        start, length = np.cumsum(size) - size, np.minimum(size, n)
+        self.windows = {int(m): self._sorted(int(m), np.flatnonzero(length == m), start, size) for m in np.unique(length[length > 0])}
+
+    def _sorted(self, m: int, pieces: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash and place of each different window, bounds of its pieces in ``who``, most windows of one hash."""
+        count = size[pieces] - m + 1
+        who = np.repeat(pieces, count).astype(np.int32)
+        at = np.repeat(start[pieces] - (np.cumsum(count) - count), count) + np.arange(len(who))
+        h = self._hash(self.words, at, m)
+        order = np.argsort(h, kind="stable")
+        new = h[order][1:] != h[order][:-1]
+        if not self._same(at[order][1:], self.words, at[order][:-1], m)[~new].all():  # a collision: by the words, too
+            order = np.lexsort((*(self.words[at + k] for k in range(m)), h))
+            new = (h[order][1:] != h[order][:-1]) | ~self._same(at[order][1:], self.words, at[order][:-1], m)
+        h, at, who = h[order], at[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        h = h[first]
+        run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h, at[first].astype(np.int32), np.append(first, len(who)).astype(np.int32), who, int(np.diff(run, append=len(h)).max())
+
+    def __getstate__(self):  # the words as one string: pickle would remember each
+        return self.__dict__ | {"vocab": b" ".join(self.vocab)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, vocab={w: k for k, w in enumerate(state["vocab"].split(), 1)})
 
     @staticmethod
-    def _hash(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(rows.shape[1]):
-            h = (h ^ rows[:, k]) * _MIX
+    def _hash(ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(m):
+            h = (h ^ ids[at + k]) * _MIX
             h ^= h >> np.uint64(29)
         return h
 
+    def _same(self, at: np.ndarray, ids: np.ndarray, other: np.ndarray, m: int) -> np.ndarray:
+        """Whether the ``m`` words at ``at`` here are those at ``other`` in ``ids``."""
+        same = np.ones(len(at), dtype=bool)
+        for k in range(m):
+            same &= self.words[at + k] == ids[other + k]
+        return same
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Verified hits of a document: merged word ranges [from, to) and the items hit."""
         get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint32, count=len(words))
         hits: list[tuple[int, int]] = []
         found: set[int | None] = set()
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for m, hashes in self.hashes.items():
+        for m, (hashes, place, bounds, who, most) in self.windows.items():
             if len(ids) < m:
                 continue
             at = np.flatnonzero(known[m:] - known[:-m] == m)  # windows of benchmark words only
             if not len(at):
                 continue
-            h = self._hash(ids[at[:, None] + np.arange(m)])
-            at = at[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
-            for i in at:
-                who = self.items.get(tuple(ids[i:i + m].tolist()))
-                if who is not None:
-                    hits.append((int(i), int(i) + m))
-                    found |= who
+            h = self._hash(ids, at, m)
+            k = np.searchsorted(hashes, h)
+            for _ in range(most):
+                near = np.flatnonzero(hashes[np.minimum(k, len(hashes) - 1)] == h)
+                near = near[k[near] < len(hashes)]
+                near = near[self._same(place[k[near]], ids, at[near], m)]
+                hits += [(i, i + m) for i in at[near].tolist()]
+                for w in np.unique(k[near]):
+                    mine = who[bounds[w]:bounds[w + 1]]
+                    found.update(self.item[mine[~self.nameless[mine]]].tolist())
+                    if self.nameless[mine].any():
+                        found.add(None)
+                k = k + 1
         return merge(hits), found
 
 
@@ -114,25 +154,32 @@ def digest_items(found: set[int | None]) -> tuple[int, str]:
     return len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-def _block_filters(benchmark: DataFrame, item_col: str, text_col: str, max_block_bytes: int) -> Iterator[DataFrame]:
-    """Blocks of items of at most ``max_block_bytes`` of text each. The sizes are
-    measured first; a table over one block is cut by a hash of its rows, into
-    more parts until the largest is small enough (equal rows, or one item, may
-    make a larger block)."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, max_words: int,
+            max_bytes: int) -> Iterator[tuple[WindowSet, bool]]:
+    """Blocks of items of at most ``max_words`` words and ``max_bytes`` bytes of
+    words each, and whether it is the last. A longer item is cut into pieces that
+    overlap by ``n`` - 1 words, so that each of its windows is in one; a piece has
+    a block of its own at most. The different rows stream through the driver."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = 1
-    while size > max_block_bytes and parts < 1 << 20:
-        parts *= 2
-        part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-        sizes = rows.groupBy(part.alias("p")).agg(F.sum(F.octet_length("t")).alias("s"), F.count("*").alias("n"))
-        size = sizes.filter("n > 1").agg(F.max("s")).first()[0] or 0
-    for p in range(parts):
-        yield rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
+    step = max(1, max_words - n + 1)
+    block: list[tuple[int | None, list[bytes]]] = []
+    n_words = n_bytes = 0
+    for r in rows.toLocalIterator():
+        words = words_of(r.t or "")
+        for at in range(0, max(1, len(words) - n + 1) if words else 0, step):
+            piece = words[at:at + step + n - 1]
+            size = sum(map(len, piece))
+            if block and (n_words + len(piece) > max_words or n_bytes + size > max_bytes):
+                full, block, n_words, n_bytes = WindowSet(block, n), [], 0, 0
+                yield full, False
+                del full
+            block.append((r.i, piece))
+            n_words, n_bytes = n_words + len(piece), n_bytes + size
+    yield WindowSet(block, n), True
 
 
 def _scan(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
-          n: int, max_block_bytes: int, carry: bool) -> DataFrame:
+          n: int, max_block_bytes: int, max_block_words: int, carry: bool) -> DataFrame:
     """Rows of ``REPORT`` and, with ``carry``, the input row (``_row``) and its
     text without the hit spans (``_clean``). One pass for each benchmark block;
     between passes the hits so far are written to the shared folder."""
@@ -143,10 +190,8 @@ def _scan(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_
     between = rows.schema
     done = [f.strip() for f in REPORT.split(",")] + ([f"_row {rows.schema['_row'].dataType.simpleString()}", "_clean string"] if carry else [])
     sc = df.sparkSession.sparkContext
-    blocks = list(_block_filters(benchmark, item_col, item_text_col, max_block_bytes))
-    for k, block in enumerate(blocks):
-        shared = sc.broadcast(WindowSet([(r.i, r.t) for r in block.toLocalIterator()], n))
-        last = k == len(blocks) - 1
+    for block, last in _blocks(benchmark, item_col, item_text_col, n, max_block_words, max_block_bytes):
+        shared = sc.broadcast(block)
         rows = rows.mapInArrow(_pass(shared, last, carry), ", ".join(done) if last else between)
         if not last:
             rows = materialize(rows, "benchmark-hits")
@@ -183,17 +228,18 @@ def _pass(shared, last: bool, carry: bool):
 
 
 def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text", n: int = 10, max_block_bytes: int = 32 << 20) -> DataFrame:
+              item_text_col: str = "text", n: int = 10, max_block_bytes: int = 32 << 20,
+              max_block_words: int = 1 << 20) -> DataFrame:
     """One row per document (schema ``REPORT``)."""
-    return _scan(df, benchmark, id_col, text_col, item_col, item_text_col, n, max_block_bytes, carry=False)
+    return _scan(df, benchmark, id_col, text_col, item_col, item_text_col, n, max_block_bytes, max_block_words, carry=False)
 
 
 def remove_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                 item_text_col: str = "text", n: int = 10, max_block_bytes: int = 32 << 20,
-                max_hit_share: float = 1.0) -> DataFrame:
+                max_hit_share: float = 1.0, max_block_words: int = 1 << 20) -> DataFrame:
     """The documents with every hit span cut out of their text; a document of
     which more than ``max_hit_share`` of the words are hit is removed whole.
     All columns are kept; clean texts, null ones included, are untouched."""
-    out = _scan(df, benchmark, id_col, text_col, item_col, item_text_col, n, max_block_bytes, carry=True)
+    out = _scan(df, benchmark, id_col, text_col, item_col, item_text_col, n, max_block_bytes, max_block_words, carry=True)
     out = out.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_hit_share))
     return out.select(*[(F.col("_clean") if c == text_col else F.col("_row").getField(c)).alias(c) for c in df.columns])

@@ -1,5 +1,7 @@
 """Packing (op 9), decontamination (op 10), rules (op 8) and the classifier (op 4)."""
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -131,6 +133,33 @@ def test_spans_are_removed(spark, block):
     assert decontaminate.remove_hits(df, bench, max_hit_share=0.5).count() < len(rows)
 
 
+def test_blocks_are_bounded_by_words(spark):
+    bench = [*BENCH, (20, " ".join(f"q{k % 70}" for k in range(150))), (21, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    rows = LEAKS + [(70, " ".join(f"q{k % 70}" for k in range(33, 120))), (71, " ".join(f"q{k}" for k in range(9))), (None, "one")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    blocks = list(decontaminate._blocks(items, "item_id", "text", 10, 60, 32 << 20))
+    assert len(blocks) > 3 and all(len(b.words) <= 60 for b, _ in blocks) and [z for _, z in blocks] == [False] * (len(blocks) - 1) + [True]
+    got = decontaminate.find_hits(docs(spark, rows), items, max_block_words=60)
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(hits_of(rows, bench), key=repr)
+
+
+def test_a_window_takes_some_tens_of_bytes():
+    rnd = np.random.default_rng(6)
+    blob = pickle.dumps(decontaminate.WindowSet([(k, [b"w%d" % x for x in rnd.integers(0, 500, 1000)]) for k in range(20)], 10))
+    tracemalloc.start()
+    held = pickle.loads(blob)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held.windows[10][0].size == 20 * 991 and size / (20 * 991) < 64 and len(blob) / (20 * 991) < 64
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    pieces = [(i, decontaminate.words_of(t or "")) for i, t in BENCH]
+    want = [decontaminate.WindowSet(pieces, 10).scan(decontaminate.words_of(t)) for _, t in LEAKS]
+    monkeypatch.setattr(decontaminate.WindowSet, "_hash", staticmethod(lambda ids, at, m: np.zeros(len(at), dtype=np.uint64)))
+    assert [decontaminate.WindowSet(pieces, 10).scan(decontaminate.words_of(t)) for _, t in LEAKS] == want and want[0][1] == {7}
+
+
 def test_a_nameless_and_a_numbered_item_in_one_document(spark):
     bench = [*BENCH, (None, "other nameless item")]
     rows = [(1, "one nameless item text, a rare token pair, other nameless item; ünï 42 código"), (2, "nothing")]
