@@ -121,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     total = marks.agg(F.count("*").alias("n"), F.count_if("_good").alias("g")).first()
     share = total.g / total.n if total.g else 1.0
     wanted = marks.filter(F.col("_good") & F.col("_id").isNotNull()).select("_id").distinct()
-    if total.g > p.max_target:  # a uniform part of the ids, by hash
-        wanted = wanted.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(p.max_target / total.g * (1 << 30)))
+    if total.g > p.max_target:  # a uniform part of the ids, by hash; the order makes it the same one each time
+        part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+        wanted = wanted.filter(part < int(p.max_target / total.g * (1 << 30))).orderBy(part, "_id")
     ids = wanted.limit(p.max_target).toPandas()["_id"].to_numpy(dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
     run = lambda batches: _counts(shared.value, p)(batches)

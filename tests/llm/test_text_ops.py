@@ -249,6 +249,18 @@ def test_classifier_on_held_out_documents(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_the_same_labels_are_drawn_however_they_lie(spark):
+    rows, labels = corpus()
+    df = docs(spark, rows)
+    good = [(i,) for i, quality, toxic in labels if quality == 1 and toxic == 0]
+    part = [r.h for r in spark.createDataFrame(good, "i long").selectExpr("pmod(xxhash64(i), 1 << 30) AS h").collect()]
+    most = next(m for m in range(20, len(good)) if sum(h < int(m / len(good) * (1 << 30)) for h in part) > m)  # the limit cuts
+    p = importance.Params(max_target=most, bits=14, min_z=0.0, min_ratio=1.0)
+    one, other = (importance.fit(df, spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n), p)
+                  for x, n in ((labels, 1), (labels[::-1], 7)))
+    assert (one.log_ratio == other.log_ratio).all()
+
+
 def test_counts_match_brute_force(spark):
     p = importance.Params(bits=14, n=4)
     texts = ["", "abc", "Abcd ef", "é" * 9, "abcd"]
