@@ -14,11 +14,11 @@ no shuffle, memory bounded by one window, and a lost task is simply rerun.
 Defined results: a null text is empty and packs its closing id alone; an empty
 table gives no rows; repeated rows are packed once each, as documents of their
 own; a null id stays null; other columns are ignored; texts of any length are
-cut into pieces, never truncated.
+cut into pieces, never truncated, runs of millions of blanks, line breaks or
+letters included.
 """
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from stagehand.llm.common import id_and_text, slices
+from stagehand.llm.tokens import encoder
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, n_loss long")
@@ -140,54 +141,6 @@ def pack_window(lengths: np.ndarray, losses: np.ndarray, limits: Limits) -> np.n
     return np.array(out, dtype=np.int64).reshape(-1, 6)
 
 
-_ENCODERS: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """``texts -> list of id lists`` for a ``tokenizers`` file.
-
-    A byte-level BPE file whose merges are in id order is run by ``tiktoken`` on
-    the vocabulary of that same file (about four times as fast; the tests hold
-    the ids against ``tokenizers``); any other file is run by ``tokenizers``.
-    """
-    if path not in _ENCODERS:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        _ENCODERS[path] = _byte_bpe(spec) or _plain(path)
-    return _ENCODERS[path]
-
-
-def _plain(path: str):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-
-
-def _byte_bpe(spec: dict):
-    import public_tokenizers
-    import tiktoken
-
-    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-    if (spec.get("normalizer") or model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space")
-            or not pre.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges")):
-        return None
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in printable}
-    to_byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] != t.get("normalized", False)
-           for t in spec.get("added_tokens", [])):
-        return None
-    ranks = {bytes(to_byte[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
-    merged = [ranks.get(bytes(to_byte[c] for c in "".join(m if isinstance(m, list) else m.split(" "))))
-              for m in model["merges"]]
-    if None in merged or merged != sorted(merged):
-        return None
-    enc = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
-
-
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                    limits: Limits = Limits(), end_id: int = 0, window: int = 2000) -> DataFrame:
     """Tokenize whole texts, close each with ``end_id`` and pack all of them.

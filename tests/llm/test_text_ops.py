@@ -67,10 +67,10 @@ def test_fast_encoder_gives_the_ids_of_the_tokenizer():
     rnd = np.random.default_rng(2)
     texts = ["", " ", "\n\n a", "I'll we've 'S", "<|endoftext|>", "x<|endoftext|>y"] + [t or "" for _, t in awkward_texts()]
     texts += ["".join(chr(c) for c in rnd.integers(1, 0x3000, 200)) for _ in range(200)]
-    assert packing.encoder(TOKENIZER) is not None
-    assert packing.encoder(TOKENIZER)(texts) == packing._plain(TOKENIZER)(texts)
+    assert tokens.encoder(TOKENIZER) is not None
+    assert tokens.encoder(TOKENIZER)(texts) == tokens._by_tokenizers(TOKENIZER, False)(texts)
     other = public_tokenizers.path("word_bpe_49k.json")
-    assert packing.encoder(other)(["Hello there"]) == packing._plain(other)(["Hello there"])
+    assert tokens.encoder(other)(["Hello there"]) == tokens._by_tokenizers(other, False)(["Hello there"])
 
 
 def test_examples_with_prompts(spark):
