@@ -1,0 +1,101 @@
+"""Token alignment, held against a byte-by-byte form of its contract."""
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from helpers import awkward_texts, clashing, docs, rows_of, sha
+from stagehand.llm import align, tokens
+
+A, B = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _tokens(text):
+    """[(id, start, end)] of both sides, straight from the two libraries."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(A)
+    tok.encode_special_tokens = True
+    of_char = {c: b for c, b in tokens._byte_of().items()}
+    sp = SentencePieceProcessor(model_file=B)
+    sides = []
+    pair_a = [(i, bytes(of_char[c] for c in tok.id_to_token(i))) for i in tok.encode(f" {text}", add_special_tokens=False).ids]
+    pair_b = [(i, bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()) for i in sp.encode(text)]
+    for pairs in (pair_a, pair_b):
+        if b"".join(x for _, x in pairs) != f" {text}".encode():
+            return None
+        out, at = [], 0
+        for i, x in pairs:
+            out.append((i, at, at + len(x)))
+            at += len(x)
+        sides.append(out)
+    return sides
+
+
+def brute(rows):
+    held, figures = Counter(), []
+    for doc, text in rows:
+        sides = _tokens(text) if text else None
+        if not sides:
+            figures.append((doc, None))
+            continue
+        a, b = sides
+        both = sorted({e for *_, e in a} & {e for *_, e in b})
+        groups = []
+        for low, high in zip([0, *both[:-1]], both, strict=True):
+            groups.append(",".join(str(i) for i, s, e in a if low <= s and e <= high) + "|" + ",".join(str(i) for i, s, e in b if low <= s and e <= high))
+        linked = [(i, k) for i, s, e in a for k, t, f in b if s < f and t < e]
+        held.update(set(linked))
+        figures.append((doc, (len(a), len(b), len(groups), linked, sha(";".join(groups)))))
+    best = defaultdict(int)
+    for (i, _), n in held.items():
+        best[i] = max(best[i], n)
+    return [(doc, 0, 0, 0, 0, 0, 0, "") if f is None else
+            (doc, *f[:3], len(f[3]), sum(held[p] == best[p[0]] for p in f[3]), sum(held[p] for p in f[3]), f[4]) for doc, f in figures]
+
+
+ROWS = [(i, t) for i, t in awkward_texts() if not t or len(t) < 4000] + [
+    (60, "a<|endoftext|>b <s> </s> <0x41> <unk>"), (61, "has ▁ inside"), (62, "unhappiness, re-tokenized 12345"), (63, "日本語のテキスト🎉"), (64, " two  blanks ")]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 40, 0])
+def test_equals_brute_force_whatever_is_broadcast(spark, bound):
+    got = rows_of(align.align_documents(clashing(docs(spark, ROWS)), A, B, broadcast_pairs=bound), *COLUMNS)
+    assert got == sorted(brute(ROWS), key=repr)
+
+
+def test_diagonal_groups_of_random_ends():
+    rnd = random.Random(7)
+    for _ in range(500):
+        n = rnd.randrange(1, 300)
+        sides = [np.array(sorted({*rnd.sample(range(1, n + 1), rnd.randrange(n)), n}), dtype=np.int32) for _ in range(2)]
+        if rnd.random() < 0.3:
+            sides[1] = sides[0].copy()
+        g = align.align(*sides)
+        common = set(sides[0].tolist()) & set(sides[1].tolist())
+        assert [k for k, e in enumerate(sides[0].tolist()) if e not in common] == g.a
+        assert [k for k, e in enumerate(sides[1].tolist()) if e not in common] == g.b
+        starts = [np.concatenate([[0], s[:-1]]) for s in sides]
+        want = {(i, j) for i in range(len(sides[0])) for j in range(len(sides[1]))
+                if starts[0][i] < sides[1][j] and starts[1][j] < sides[0][i]}
+        at_a, at_b = align.links(g, len(sides[0]), len(sides[1]))
+        assert set(zip(at_a.tolist(), at_b.tolist(), strict=True)) == want and len(at_a) == len(want)
+
+
+def test_empty_table_and_long_texts(spark):
+    assert align.align_documents(docs(spark, []), A, B).collect() == []
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, "x" * 2_000_000), (4, "word " * 400_000)]
+    got = {r[0]: r for r in rows_of(align.align_documents(docs(spark, rows), A, B), *COLUMNS)}
+    assert all(got[i][1] and got[i][4] == got[i][1] + got[i][2] - got[i][3] for i in got)
+
+
+def test_parts_of_long_texts_give_the_same_pieces():
+    p = tokens.pieces(B)
+    rnd = random.Random(2)
+    for _ in range(300):
+        text = "".join(rnd.choice([" ", "  ", "\n", "\t ", "ab", "Ünder", "▁", "日", ".", "word ", "\x1c", "\x85"]) for _ in range(60))
+        assert p.encode([text], part_chars=10) == [p.model.encode(text)]
