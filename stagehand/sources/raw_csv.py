@@ -6,11 +6,11 @@ hold newlines and doubled quotes, hence multiLine + RFC-4180 quoting. A load is
 an idempotent snapshot overwrite; the row count is observed on the write itself
 (no second scan).
 
-Scale: a multi-line CSV file cannot be split (a newline may sit inside a quoted
-field), so each file is read by one task. CSV is therefore only an interchange
-format here: it arrives as many files (one per crawl batch or writer task), and
-``load_raw`` converts it once to parquet, so every later read is a splittable,
-column-pruned scan.
+Scale: Spark's multi-line reader gives a file to one task, as a newline may sit
+inside a quoted field. Files of up to one split are read by it; if a file is
+larger, ``read_raw`` reads all of them by ``split_csv``, which cuts files anywhere
+and gives the same rows. ``load_raw`` converts CSV once to parquet, so every later
+read is a splittable, column-pruned scan.
 """
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import raw_schema
+from . import split_csv
 
 # Tokens a pandas-style reader treats as missing. Applied only to
 # the columns a caller names — never to ids or free text by default.
@@ -59,10 +60,20 @@ def apply_null_tokens(df: DataFrame, columns: Sequence[str],
                            for c in columns})
 
 
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file under ``path`` (from the listing; nothing is read)."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
 def read_raw(spark: SparkSession, table: str, path: str,
              null_token_columns: Sequence[str] | None = None) -> DataFrame:
     """Raw table from CSV with its registered schema (S2); unknown names raise."""
-    df = read_csv_strings(spark, path, raw_schema(table))
+    read = split_csv.read_csv_split if _largest_file(spark, path) > _split_bytes(spark) else read_csv_strings
+    df = read(spark, path, raw_schema(table))
     return apply_null_tokens(df, null_token_columns) if null_token_columns else df
 
 
