@@ -107,9 +107,24 @@ def load_raw_layer(spark: SparkSession, csv_dir: str, raw_dir: str,
     return counts
 
 
+# The kind of responses that fills a raw table.
+LANDED_BY = {"user_info": "users", "user_item": "collections", "item_info": "collections", "item_details": "things", "item_stats": "things",
+             "item_link": "things", "item_rank": "things", "user_play": "plays", "play_pages": "plays"}
+
+
+def _state(raw_dir: str, kind: str) -> str:
+    """The state of the landing of ``kind`` responses."""
+    return _join(raw_dir, f"_checkpoints/{kind}_pages")
+
+
 def read_layer(spark: SparkSession, layer_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables of a layer folder that exist, by name."""
+    """The tables of a layer folder that exist, by name; of a landed table the rows
+    of committed batches, of each response file those of its last version."""
+    from .streaming import landing
     found = {n: _read_if_present(spark.read.parquet, _join(layer_dir, n)) for n in names}
+    for n, df in found.items():
+        if df is not None and n in LANDED_BY and "batch_id" in df.columns:
+            found[n] = landing.read_landed(spark, _join(layer_dir, n), _state(layer_dir, LANDED_BY[n]))
     return {n: df for n, df in found.items() if df is not None}
 
 
@@ -153,9 +168,10 @@ def check_layer(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     return [r.asDict() for r in done.collect()]
 
 
-def _ledger_report(spark: SparkSession, ledger: str, excluded: str) -> dict[str, int]:
+def _ledger_report(spark: SparkSession, raw_dir: str, kind: str, excluded: str) -> dict[str, int]:
     """Units by current state; the failed ones are written as the exclusion log."""
-    rows = _read_if_present(spark.read.parquet, ledger)
+    from .streaming import landing
+    rows = landing.read_committed(spark, _join(raw_dir, f"{kind}_ledger"), _state(raw_dir, kind))
     if rows is None:
         return {"done": 0, "retry": 0, "failed": 0}
     now = ing.latest_state(rows)
@@ -166,16 +182,16 @@ def _ledger_report(spark: SparkSession, ledger: str, excluded: str) -> dict[str,
 
 def stream_pages(spark: SparkSession, kind: str, landing_dir: str, raw_dir: str,
                  max_files_per_trigger: int | None = None) -> dict[str, int]:
-    """Parse the ``kind`` responses (things, plays, users, collections) landed since
-    the last run into the raw tables. The stream's checkpoint, the ledger and the
-    exclusion log live beside the raw tables (shared storage), so the next run
-    resumes where this one ended. Returns the units by state."""
+    """Parse the ``kind`` responses (things, plays, users, collections) landed or
+    fetched again since the last run into the raw tables. The state of the landing,
+    the ledger and the exclusion log live beside the raw tables (shared storage), so
+    the next run resumes where this one ended. Returns the units by state."""
     from .streaming import ingest
     run = {"things": ingest.run_thing_page_stream, "plays": ingest.run_plays_page_stream,
            "users": ingest.run_user_page_stream, "collections": ingest.run_collection_page_stream}[kind]
     ledger = _join(raw_dir, f"{kind}_ledger")
-    run(spark, landing_dir, raw_dir, ledger, _join(raw_dir, f"_checkpoints/{kind}_pages"), max_files_per_trigger)
-    return _ledger_report(spark, ledger, _join(raw_dir, f"{kind}_excluded"))
+    run(spark, landing_dir, raw_dir, ledger, _state(raw_dir, kind), max_files_per_trigger)
+    return _ledger_report(spark, raw_dir, kind, _join(raw_dir, f"{kind}_excluded"))
 
 
 def work_list(spark: SparkSession, candidates: str, raw_dir: str, out: str, kind: str, key: str, sample: int | None = None,
@@ -187,7 +203,8 @@ def work_list(spark: SparkSession, candidates: str, raw_dir: str, out: str, kind
     units = spark.read.parquet(candidates).select(key)
     if sample is not None:
         units = sampling.freeze(sampling.seeded_sample(units, key, sample, seed), f"{out.rstrip('/')}_sample")
-    ledger = _read_if_present(spark.read.parquet, _join(raw_dir, f"{kind}_ledger"))
+    from .streaming import landing
+    ledger = landing.read_committed(spark, _join(raw_dir, f"{kind}_ledger"), _state(raw_dir, kind))
     empty = units.limit(0)
     now = None if ledger is None else ing.latest_state(ledger).withColumnRenamed("unit_id", key)
     done, failed = (empty if now is None else now.where(F.col("state") == s).select(key) for s in ("done", "failed"))

@@ -110,65 +110,66 @@ def parse_user_pages(df: DataFrame, xml_col: str, user_id_col: str) -> DataFrame
     return user_rows(df.select(F.col(user_id_col).cast("string").alias("user_id"), u), "u")
 
 
-def user_rows(parsed: DataFrame, user_col: str = "user") -> DataFrame:
+def user_rows(parsed: DataFrame, user_col: str = "user", keep: Sequence[str] = ()) -> DataFrame:
     """Parsed user pages (struct column ``user_col`` + ``user_id``) → raw user_info rows.
 
     The id is the one the page was requested with (``user_id``), as the crawl
     recorded it, not an attribute of the page.
     """
     return parsed.select("user_id", *[_dflt(F.col(f"{user_col}.{c}._value")).alias(c)
-                                      for c in RAW_FIELDS["user_info"][1:]])
+                                      for c in RAW_FIELDS["user_info"][1:]], *keep)
 
 
 # --- S10 thing items -----------------------------------------------------------------
 
-def parse_thing_items(items: DataFrame, item_col: str = "item") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def parse_thing_items(items: DataFrame, item_col: str = "item",
+                      keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Parsed thing items → (details, stats, links, ranks) raw rows.
 
     ``items`` has a struct column shaped by ``THING_SCHEMA``. One scan feeds four
-    projections. ``name`` is the first name element (primary by position);
-    ``avg_weights`` repeats ``averageweight``.
+    projections, with the ``keep`` columns last. ``name`` is the first name element
+    (primary by position); ``avg_weights`` repeats ``averageweight``.
     """
-    return (thing_details(items, item_col), thing_stats(items, item_col),
-            thing_links(items, item_col), thing_ranks(items, item_col))
+    return (thing_details(items, item_col, keep), thing_stats(items, item_col, keep),
+            thing_links(items, item_col, keep), thing_ranks(items, item_col, keep))
 
 
 def _oid(it: Column) -> Column:
     return _dflt(it["_id"]).alias("objectid")
 
 
-def thing_details(items: DataFrame, item_col: str = "item") -> DataFrame:
+def thing_details(items: DataFrame, item_col: str = "item", keep: Sequence[str] = ()) -> DataFrame:
     it = F.col(item_col)
     return items.select(
         _oid(it), _dflt(F.get(it["name"], 0)["_value"]).alias("name"),
         _dflt(it["yearpublished"]["_value"]).alias("yearpublished"),
         _dflt(it["minage"]["_value"]).alias("minage"),
         _dflt(it["description"]).alias("description"),
-        _dflt(it["statistics"]["ratings"]["averageweight"]["_value"]).alias("avg_weights"))
+        _dflt(it["statistics"]["ratings"]["averageweight"]["_value"]).alias("avg_weights"), *keep)
 
 
-def thing_stats(items: DataFrame, item_col: str = "item") -> DataFrame:
+def thing_stats(items: DataFrame, item_col: str = "item", keep: Sequence[str] = ()) -> DataFrame:
     it = F.col(item_col)
     r = it["statistics"]["ratings"]
-    return items.select(_oid(it), *[_dflt(r[t]["_value"]).alias(t) for t in RAW_FIELDS["item_stats"][1:]])
+    return items.select(_oid(it), *[_dflt(r[t]["_value"]).alias(t) for t in RAW_FIELDS["item_stats"][1:]], *keep)
 
 
-def thing_links(items: DataFrame, item_col: str = "item") -> DataFrame:
+def thing_links(items: DataFrame, item_col: str = "item", keep: Sequence[str] = ()) -> DataFrame:
     """Repeated ``link`` elements → long item_link rows (works on ``THING_LINK_SCHEMA``)."""
     it = F.col(item_col)
-    return _explode_parsed(items.select(_oid(it), it["link"].alias("_l")), ["objectid"], F.col("_l"), "l").select(
+    return _explode_parsed(items.select(_oid(it), it["link"].alias("_l"), *keep), ["objectid", *keep], F.col("_l"), "l").select(
         "objectid", _dflt(F.col("l._type")).alias("link_type"),
-        _dflt(F.col("l._id")).alias("ref_id"), _dflt(F.col("l._value")).alias("value"))
+        _dflt(F.col("l._id")).alias("ref_id"), _dflt(F.col("l._value")).alias("value"), *keep)
 
 
-def thing_ranks(items: DataFrame, item_col: str = "item") -> DataFrame:
+def thing_ranks(items: DataFrame, item_col: str = "item", keep: Sequence[str] = ()) -> DataFrame:
     """Nested ``rank`` elements → long item_rank rows (works on ``THING_RANK_SCHEMA``)."""
     it = F.col(item_col)
     k = it["statistics"]["ratings"]["ranks"]["rank"]
-    return _explode_parsed(items.select(_oid(it), k.alias("_k")), ["objectid"], F.col("_k"), "k").select(
+    return _explode_parsed(items.select(_oid(it), k.alias("_k"), *keep), ["objectid", *keep], F.col("_k"), "k").select(
         "objectid", _dflt(F.col("k._type")).alias("rank_type"),
         _dflt(F.col("k._friendlyname")).alias("friendlyname"),
-        _dflt(F.col("k._value")).alias("value"), _dflt(F.col("k._bayesaverage")).alias("bayesaverage"))
+        _dflt(F.col("k._value")).alias("value"), _dflt(F.col("k._bayesaverage")).alias("bayesaverage"), *keep)
 
 
 def thing_items_from_strings(df: DataFrame, xml_col: str, schema: str = THING_SCHEMA) -> DataFrame:
@@ -208,6 +209,22 @@ def response_items(good: DataFrame, keep: list[str], page_col: str = "pg", as_co
     return _explode_parsed(good, keep, F.col(page_col)["item"], as_col)
 
 
+def url_decoded(c: Column) -> Column:
+    """``c`` without its %XX escapes, ``+`` kept; as it is if they are none."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def unit_of_path(path: Column, unit_dir: bool) -> Column:
+    """The unit of work that a response file belongs to, from its decoded path: the
+    file's name without its extension, or with ``unit_dir`` the name of its folder,
+    as the unit is called (blanks, ``%``, ``+``, ``=`` and other letters included).
+    A folder ``unit=<id>`` is one that Spark's partitioned writer made: its escapes are undone."""
+    if not unit_dir:
+        return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?\z", 1)
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1)
+    return F.when(F.startswith(folder, F.lit("unit=")), url_decoded(F.substring(folder, 6, 2**31 - 1))).otherwise(folder)
+
+
 # --- response files ---------------------------------------------------------------------
 
 def read_page_files(spark: SparkSession, path: str, row_tag: str, schema: str, as_col: str,
@@ -226,7 +243,7 @@ def read_page_files(spark: SparkSession, path: str, row_tag: str, schema: str, a
     raw = r.load(path)
     cols = [F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(as_col)]
     if unit_dir:
-        cols.insert(0, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("user_id"))
+        cols.insert(0, unit_of_path(url_decoded(F.col("_metadata.file_path")), True).alias("user_id"))
     return raw.select(*cols)
 
 
@@ -317,13 +334,13 @@ def collection_item_info_rows(items: DataFrame, user_id_col: str | None = None,
 
 
 def collection_user_item_rows(items: DataFrame, user_id_col: str, item_col: str = "item",
-                              subtype: str | None = "boardgame") -> DataFrame:
+                              subtype: str | None = "boardgame", keep: Sequence[str] = ()) -> DataFrame:
     """Parsed collection items → raw user_item rows only (S11 + P6). Works on
     items parsed with ``COLLECTION_USER_ITEM_SCHEMA`` (or the full schema)."""
     it = F.col(item_col)
     return _kept_items(items, item_col, subtype).select(
         F.col(user_id_col).cast("string").alias("user_id"), _dflt(it["_objectid"]).alias("objectid"),
-        *_user_item_cols(it))
+        *_user_item_cols(it), *keep)
 
 
 def split_collection_rows(flat: DataFrame, keep_unit: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -364,20 +381,20 @@ def parse_plays_page_counts(df: DataFrame, xml_col: str, user_id_col: str) -> Da
     return page_rows(p, "pg")
 
 
-def page_rows(p: DataFrame, page_col: str = "pg") -> DataFrame:
+def page_rows(p: DataFrame, page_col: str = "pg", keep: Sequence[str] = ()) -> DataFrame:
     """Parsed plays pages → one row per page: page number, plays on it, declared total."""
     pg = F.col(page_col)
     return p.select("user_id", pg["_page"].try_cast("int").alias("page"),
                     F.coalesce(F.size(pg["play"]), F.lit(0)).alias("rows"),
-                    F.coalesce(pg["_total"].try_cast("bigint"), F.lit(0)).alias("total"))
+                    F.coalesce(pg["_total"].try_cast("bigint"), F.lit(0)).alias("total"), *keep)
 
 
-def plays_rows(p: DataFrame, page_col: str = "pg") -> tuple[DataFrame, DataFrame]:
+def plays_rows(p: DataFrame, page_col: str = "pg", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Parsed plays pages (``user_id`` + struct ``page_col``) → (user_play rows, per-page rows)."""
-    plays = _explode_parsed(p, ["user_id"], F.col(page_col)["play"], "x").select(
+    plays = _explode_parsed(p, ["user_id", *keep], F.col(page_col)["play"], "x").select(
         _dflt(F.col("x._id")).alias("play_id"), "user_id",
         _dflt(F.col("x.item._objectid")).alias("objectid"),
         _dflt(F.col("x._date")).alias("play_date"), _dflt(F.col("x._quantity")).alias("quantity"),
         _dflt(F.col("x._length")).alias("length"), _dflt(F.col("x._incomplete")).alias("incomplete"),
-        _dflt(F.col("x._location")).alias("location"))
-    return plays, page_rows(p, page_col)
+        _dflt(F.col("x._location")).alias("location"), *keep)
+    return plays, page_rows(p, page_col, keep)

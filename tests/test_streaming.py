@@ -146,3 +146,82 @@ def test_late_old_file_is_read(spark, tmp_dir):
     done = {r.unit_id for r in spark.read.parquet(f"{raw}/ledger").collect()}
     assert done == {f"u{k}" for k in range(12)} | {"late", "fresh"}
     assert spark.read.parquet(f"{raw}/ledger").select("batch_id").distinct().count() == 2   # one batch per run
+
+
+def _collections(spark, tmp_dir):
+    land, raw, ckpt = (f"{tmp_dir}/{p}" for p in ("land", "raw", "ckpt"))
+    return land, raw, ckpt, lambda: ingest.run_collection_page_stream(spark, land, raw, f"{raw}/ledger", ckpt)
+
+
+def test_units_keep_their_names(spark, tmp_dir):
+    """Blanks, signs and other letters, in plain folders and in those of a partitioned write."""
+    from stagehand.streaming.landing import read_landed
+    from test_xml_parsers import collection, item
+    land, raw, ckpt, run = _collections(spark, tmp_dir)
+    names = ["John Doe", "a=b", "100% sure", "x+y", "Zoë 日本", "%20", "unit", "a{b}[c]*?"]
+    for n in names:
+        put(f"{land}/{n}/1.xml", collection(item("1")))
+    more = ["part of=it", "50%", "p+q r", "Ünal"]
+    (spark.createDataFrame([(n, collection(item("2"))) for n in more], "unit string, value string")
+     .repartition(1).write.mode("append").partitionBy("unit").option("lineSep", " ").text(land))
+    run()
+    assert {r.unit_id for r in spark.read.parquet(f"{raw}/ledger").collect()} == {*names, *more}
+    assert {r.user_id for r in read_landed(spark, f"{raw}/user_item", ckpt).collect()} == {*names, *more}
+    from stagehand.sources.xml_pages import read_collection_files
+    assert {r.user_id for r in read_collection_files(spark, land).collect()} == {*names, *more}
+
+
+def test_response_fetched_again_under_its_name(spark, tmp_dir):
+    from stagehand.streaming.landing import committed, read_landed
+    from test_xml_parsers import collection, item
+    land, raw, ckpt, run = _collections(spark, tmp_dir)
+    put(f"{land}/ann/1.xml", "Service Unavailable")
+    put(f"{land}/bob/1.xml", collection(item("1"), item("2")))
+    put(f"{land}/cy/1.xml", collection(item("5")))
+    run()
+    state = lambda: {r.unit_id: r.state for r in latest_state(spark.read.parquet(f"{raw}/ledger")).collect()}
+    items = lambda: sorted((r.user_id, r.objectid) for r in read_landed(spark, f"{raw}/user_item", ckpt).collect())
+    assert state() == {"ann": "retry", "bob": "done", "cy": "done"}
+    put(f"{land}/ann/1.xml", collection(item("1"), item("9")))          # good now
+    put(f"{land}/bob/1.xml", collection(item("2"), item("3"), item("4")))  # changed: replaces its rows
+    run()
+    assert state() == {"ann": "done", "bob": "done", "cy": "done"}
+    want = [("ann", "1"), ("ann", "9"), ("bob", "2"), ("bob", "3"), ("bob", "4"), ("cy", "5")]
+    assert items() == want
+    run()                                                              # nothing new: no batch
+    assert items() == want and len(committed(spark, ckpt)) == 2
+    put(f"{land}/bob/1.xml", collection())                              # empty now
+    run()
+    assert items() == [x for x in want if x[0] != "bob"]
+    assert {r.objectid for r in ingest.read_collection_item_info(spark, raw, ckpt).collect()} == {"1", "2", "3", "4", "5", "9"}
+
+
+def test_a_batch_appears_as_a_whole(spark, tmp_dir, monkeypatch):
+    from stagehand.streaming import landing
+    from test_xml_parsers import collection, item
+    land, raw, ckpt, run = _collections(spark, tmp_dir)
+    put(f"{land}/ann/1.xml", collection(item("1")))
+    run()
+    put(f"{land}/bob/1.xml", collection(item("2"), item("3")))
+    put(f"{land}/ann/2.xml", collection(item("4")))
+    real = ingest.append_unit_rows
+    tables = ("user_item", "item_info", "ledger")
+    shown = lambda: [landing.read_committed(spark, f"{raw}/{t}", ckpt).count() for t in tables]
+    for dies_before in ("item_info", "ledger", "commits"):
+        def write(df, path, *a, dies_before=dies_before):
+            if path.endswith(dies_before):
+                raise RuntimeError("executor lost")
+            real(df, path, *a)
+        monkeypatch.setattr(ingest, "append_unit_rows", write)
+        monkeypatch.setattr(landing, "append_unit_rows", write)
+        try:
+            run()
+            raise AssertionError("the run should have died")
+        except RuntimeError:
+            pass
+        assert shown() == [1, 1, 1]                                    # nothing of the batch, in no table
+    monkeypatch.undo()
+    run()
+    assert shown() == [4, 4, 3]
+    assert sorted((r.user_id, r.objectid) for r in landing.read_landed(spark, f"{raw}/user_item", ckpt).collect()) == [
+        ("ann", "1"), ("ann", "4"), ("bob", "2"), ("bob", "3")]
