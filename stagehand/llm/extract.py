@@ -13,13 +13,14 @@ Defined results: null or empty html gives an empty text; markup that never
 closes, or closes what was not open, ends where its parent ends; script, style
 and the like end at their own end tag, or at the end of the page; a null url
 stays null; repeated rows are each extracted; an empty table gives no rows; no
-text is dropped for its length; other columns are ignored.
+text is dropped for its length, and the time for a page grows with its length
+however its markup is made; other columns are ignored.
 """
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,31 +33,39 @@ from stagehand.llm.common import slices
 TEXTS = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long"
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*>"  # in HTML a CDATA marker ends at the first > as well
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>", re.S)
 _CUT_TAG = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)", re.S)
 
 #: Elements whose content is no page text.
-_RAW = frozenset("script style title textarea iframe noembed noframes xmp template object svg math canvas audio video noscript".split())
+_RAW = frozenset("script style title textarea iframe noembed noframes xmp template object svg canvas audio video noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                    "span strike strong sub sup time tt u var".split())
+                    "span strike strong sub sup time tt u var math mi mn mo mrow ms mtext msub msup msubsup mfrac msqrt".split())
 #: An open element of the first set ends when an element of the second begins.
 _BLOCKS_END_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                           "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
              "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}}
+_ENDERS = frozenset().union(*_ENDED_BY.values())
+#: Elements nested deeper than this are read as part of the innermost one, as browsers do.
+_DEPTH = 512
 _SCOPE = frozenset("html body article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
 
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog button select datalist fieldset legend noscript head".split())
-_BOILER_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|"
-    r"footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo|promotion|"
-    r"recommended|recommendations|related|replies|reply|search|share|sharing|sidebar|signin|signup|skip|social|sponsor|sponsored|"
-    r"subscribe|subscription|tags|toolbar|topbar|widget|alert|complementary|contentinfo|respond)(?![a-z])")
-_HEADER_WORDS = re.compile(r"(?<![a-z])(?:header|topnav|siteheader|site-header|pageheader|page-header)(?![a-z])")
+# Names of page parts that are no main text.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus "
+    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion "
+    "recommended recommendations related replies reply search share sharing sidebar signin signup skip social sponsor sponsored "
+    "subscribe subscription tags toolbar topbar widget alert complementary contentinfo respond".split())
+#: Those that stay so however much of the page's text they hold.
+_NEVER_MAIN = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr replies reply respond".split())
+#: Parts of a hyphenated name that say where or how a page part is, not what it is.
+_PLACES = frozenset("left right top bottom list box area section block item items link links bar inner posts articles buttons".split())
+_HEADERS = frozenset("header topnav siteheader site-header pageheader page-header main-header top-header".split())
 _MAIN_WORDS = re.compile(r"(?<![a-z])(?:article|articlebody|body|content|entry|main|post|prose|story|text)(?![a-z])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -69,6 +78,9 @@ class _Node:
     boiler: float  # evidence of the element and all around it
     main: float
     in_article: bool
+    hint: float = 0.0  # of ``boiler``, what the element's own name gave and much text inside it takes back
+    chars: int = 0     # of the blocks inside, links left out
+    relief: float = 0.0
 
 
 @dataclass(slots=True)
@@ -79,6 +91,14 @@ class Block:
     text: str = ""
 
 
+def _part(name: str) -> str | None:
+    """The page part that a class, id or role names as a whole: its last word that is no place, if it is a part."""
+    words = [w for w in name.split("-") if w and not w.isdigit()]
+    while len(words) > 1 and words[-1] in _PLACES:
+        words.pop()
+    return words[-1] if words and words[-1] in _PARTS else None
+
+
 def _evidence(tag: str, attrs: str, parent: _Node | None) -> _Node:
     boiler, main = (parent.boiler, parent.main) if parent else (0.0, 0.0)
     in_article = bool(parent and parent.in_article) or tag in ("article", "main")
@@ -86,30 +106,52 @@ def _evidence(tag: str, attrs: str, parent: _Node | None) -> _Node:
         boiler += 12
     if tag in ("article", "main"):
         main += 6
+    hint = 0.0
     if attrs:
-        words = []
+        names = []
         for name, a, b, c, bare in _ATTR.findall(attrs):
             name, value = (name or bare).lower(), a or b or c
-            if name in ("class", "id", "role", "itemprop", "aria-label"):
-                words.append(_CAMEL.sub("-", value).lower().replace("_", "-"))
+            if name in ("class", "id", "role", "itemprop"):
+                names += _CAMEL.sub("-", value).lower().replace("_", "-").split()
+            elif name == "aria-label":
+                names.append("-".join(value.lower().split()))
             elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 boiler += 30
-        if words and tag not in ("html", "body"):
-            hint = " ".join(words)
-            if _BOILER_WORDS.search(hint) or _HEADER_WORDS.search(hint) and not in_article:
+        if names and tag not in ("html", "body"):
+            parts = {p for p in map(_part, names) if p}
+            if tag not in ("article", "main") and (parts or not in_article and _HEADERS.intersection(names)):
                 boiler += 12
-            elif _MAIN_WORDS.search(hint):
+                hint = 0.0 if parts & _NEVER_MAIN else 12.0
+            elif _MAIN_WORDS.search(" ".join(names)):
                 main += 2
-    return _Node(tag, parent, parent.depth + 1 if parent else 0, boiler, main, in_article)
+    return _Node(tag, parent, parent.depth + 1 if parent else 0, boiler, main, in_article, hint)
+
+
+def _take_back_hints(nodes: list[_Node], blocks: list[Block]) -> None:
+    """An element that holds most of the text is no sidebar, whatever its name: its
+    own hint is taken back from all inside it. Most of the text is half of the
+    article's, or of the page's where no article is marked. One pass up, one down."""
+    article = [b for b in blocks if b.node.in_article]
+    for b in article or blocks:
+        b.node.chars += len(b.text) - min(b.link_chars, len(b.text))
+    total = sum(n.chars for n in nodes)
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.chars += n.chars
+    for n in nodes:
+        n.relief = n.parent.relief if n.parent is not None else 0.0
+        if n.hint and 2 * n.chars > total:
+            n.relief += n.hint
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, character references decoded, white space made one space."""
     root = _evidence("html", "", None)
-    stack = [root]
+    stack, nodes = [root], [root]
     out: list[Block] = []
     block: Block | None = None
     links = at = 0
+    opened: Counter[str] = Counter()
 
     def text(a: int, z: int) -> None:
         nonlocal block
@@ -133,6 +175,7 @@ def blocks_of(page: str) -> list[Block]:
     def pop_to(k: int) -> None:
         nonlocal links, block
         for n in stack[k:]:
+            opened[n.tag] -= 1
             links -= n.tag == "a"
             if n.tag not in _INLINE:
                 block = None
@@ -154,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
                 if text_break is not None:
                     text_break.parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
@@ -171,14 +214,14 @@ def blocks_of(page: str) -> list[Block]:
             if block is not None and tag == "br":
                 block.parts.append(" ")
             continue
-        if tag in _BLOCKS_END_P:
+        if tag in _BLOCKS_END_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     pop_to(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if tag in _ENDERS else ():
             if tag in _ENDED_BY.get(stack[k].tag, ()):
                 pop_to(k)
                 break
@@ -189,20 +232,27 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in _INLINE:
             block = None
+        if len(stack) >= _DEPTH:
+            continue
         stack.append(_evidence(tag, m["attrs"], stack[-1]))
+        nodes.append(stack[-1])
+        opened[tag] += 1
         links += tag == "a"
     cut = _CUT_TAG.search(page, at)
     text(at, cut.start() if cut else size)
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    if any(n.hint for n in nodes):
+        _take_back_hints(nodes, out)
+    return out
 
 
 def costs(b: Block, has_article: bool) -> tuple[float, float]:
     """(cost of calling the block boilerplate, cost of calling it content).
     ``has_article``: the page marks its article, so text outside of it is suspect."""
     n, tag = len(b.text), b.node.tag
-    keep, drop = 1.0 + b.node.main, b.node.boiler
+    keep, drop = 1.0 + b.node.main, b.node.boiler - b.node.relief
     keep += min(n / 80, 5.0)
     if tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"):
         keep += 1.5

@@ -169,6 +169,39 @@ def test_inside_boilerplate_of_an_article():
     assert extract.main_text(page)[0] == TEXT
 
 
+SAID = ["This is paragraph %d of the story, which goes on for a good while and says quite a bit about things." % k for k in range(5)]
+STORY = "".join(f"<p>{p}</p>" for p in SAID)
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content-sidebar-wrap'>{STORY}</div>", f"<article class='post tag-social'>{STORY}</article>",
+    f"<article><div class='share-price-table'>{STORY}</div></article>", f"<div id='sidebar'>{STORY}</div>",
+    f"<div class='post comments-open'>{STORY}</div><div class='comments'><p>Nice read, thanks a lot for this long article, I liked it.</p></div>",
+    f"<div class='story'>{STORY}</div><div class='comment-list'>" + "<p>I do not agree with this, says a reader at length.</p>" * 20 + "</div>",
+    f"<div id='main'>{STORY}</div><div class='sidebar-left'><ul><li>one thing</li><li>another thing here</li></ul></div>",
+    f"<div class='cookie-banner'><p>We use cookies to improve this site, please accept them now.</p></div><div class='entry'>{STORY}</div>",
+    f"<main>{STORY}<div class='related-posts'><p>Another story that you may like, told in one sentence.</p></div></main>",
+    f"<div class='entry-header'><h1>A headline of the story</h1></div><div class='widget'>{STORY}</div>"])
+def test_names_of_containers(page):
+    """No article is lost by a word in a class, and no page part stays by one."""
+    got = extract.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>&copy; Site</footer></body>")[0]
+    assert got.removeprefix("A headline of the story\n") == "\n".join(SAID)
+
+
+def test_formulas_stay():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number of some note.</p></article>"
+    assert extract.main_text(page)[0] == "Let x=2 be a number of some note."
+
+
+@pytest.mark.parametrize("mark", ["<![CDATA[", "<!", "<a '", "<div class='sidebar'>", "<script>x", "<b>", " <", "</", "</i>", "<b></i>"])
+def test_time_for_markers_that_never_close(mark):
+    import time
+
+    start = time.thread_time()
+    extract.main_text("<div><b><p>hello</p>" + mark * (2_000_000 // len(mark)) + ">")
+    assert time.thread_time() - start < 20
+
+
 def test_min_cut_is_minimal():
     rnd = random.Random(1)
     for _ in range(60):
