@@ -7,7 +7,7 @@ would silently drop items).
 """
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,3 +138,33 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str |
     if path:
         w = w.option("path", path)
     w.saveAsTable(name)
+
+
+# --- co-location -----------------------------------------------------------------
+
+def write_colocated(tables: Mapping[str, DataFrame], key: str, buckets: int, directory: str) -> None:
+    """Create-or-replace ``tables`` (name → rows) as catalog tables with the same
+    buckets of ``key``, files under ``directory``, each with a bloom filter of the
+    key: joins of any of them on ``key`` need no shuffle, and a lookup of one key
+    reads one bucket. For keys of which none holds a large share of a table (item
+    keys); one file a bucket, so the merge of a join needs no sort either."""
+    for name, df in tables.items():
+        (df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+           .option("path", f"{directory}/{name}").option(f"parquet.bloom.filter.enabled#{key}", "true").saveAsTable(name))
+
+
+def read_colocated(spark: SparkSession, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Tables of ``write_colocated``."""
+    return {n: spark.table(n) for n in names}
+
+
+def colocated_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join of two co-located tables bucket by bucket, neither side moved. (Without the
+    hint a small side would be sent to all tasks, which is no better here.)"""
+    return left.join(right.hint("merge"), key, how)
+
+
+def lookup(table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """The rows of some keys: only their buckets' files are read, and of these the row
+    groups whose statistics and bloom filter may hold them."""
+    return table.where(F.col(key).isin(list(values)) if len(values) != 1 else F.col(key) == F.lit(values[0]))
