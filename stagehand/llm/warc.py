@@ -5,7 +5,10 @@ An archive is a ZIP file whose members are stored, not compressed:
 (offset and length of every record). The reader takes the end of the file,
 follows the end-of-central-directory record or its ZIP64 form, reads the
 central directory, finds the data of the stored members and range-reads single
-records; nothing is extracted. Without an index, the record member is streamed.
+records; nothing is extracted. It reads packages of other writers as well: any
+number of record members under ``archive/``, CDXJ lines with or without key and
+time (a line belongs to the member that its ``filename`` names), indexes packed
+by gzip or by ZIP, records of any type. A record member without an index is streamed.
 
 Scale: payloads meet once, to decide which record is the response (one narrow
 aggregate by digest, then a join on the digest that adaptive execution splits
@@ -103,9 +106,12 @@ def decode_record(raw: bytes) -> Record:
         raise ValueError(f"{fields.get('warc-record-id')}: the record is cut")
     http, _, payload = block.partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    kind = fields["warc-type"]
-    if kind == "response" and payload_digest(payload) != digest:
+    named = fields.get("warc-payload-digest", "")
+    kind = fields.get("warc-type", "")
+    if kind not in ("response", "revisit"):  # warcinfo, request, metadata: no page
+        return Record(None, 0, "", kind, None, fields.get("warc-target-uri"), None)
+    digest = named.removeprefix("sha1:").upper() if named.startswith("sha1:") else payload_digest(payload) if kind == "response" else named
+    if kind == "response" and payload_digest(payload) != digest and not re.search(rb"(?im)^transfer-encoding:", http):
         raise ValueError(f"{fields.get('warc-record-id')}: the payload does not match its digest")
     return Record(_page(fields.get("warc-record-id")), int(length[1]) if length else len(payload), digest, kind,
                   _page(fields.get("warc-refers-to")), fields.get("warc-target-uri"), payload if kind == "response" else None)
@@ -197,7 +203,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                    revisit_min_bytes: int = 0, max_archive_bytes: int = 32 << 20) -> DataFrame:
     """Writes every page as a record; returns the manifest (schema ``MANIFEST``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = _filesystem(folder)
         records: list[bytes] = []
         index: list[str] = []
         size = 0
@@ -225,8 +231,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
+def _filesystem(uri: str):
+    """The file system of a folder or file, and its path there. Spark's names of the S3 scheme are S3."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"\As3[an]://", "s3://", uri))
+
+
 def _opened(path: str):
-    fs, inner = pa.fs.FileSystem.from_uri(path)
+    fs, inner = _filesystem(path)
     f = fs.open_input_file(inner)
 
     def read(offset: int, n: int) -> bytes:
@@ -236,25 +247,52 @@ def _opened(path: str):
     return f, read
 
 
+def _whole(read, m: Member) -> bytes:
+    """A member's content: stored or deflated in the ZIP file, packed by gzip or not."""
+    stored = m if m.method == 0 else m._replace(method=0)
+    data = read(data_offset(read, stored), m.size)
+    if m.method == 8:
+        data = zlib.decompressobj(-15).decompress(data)
+    elif m.method:
+        raise ValueError(f"{m.name}: compression {m.method} is unknown")
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def index_lines(data: bytes) -> Iterator[tuple[str | None, int, int]]:
+    """(file name, offset, length) of CDXJ lines: bare JSON, or JSON behind a key and
+    a time; header lines and lines without a range are left out."""
+    for line in data.decode().splitlines():
+        at = line.find("{")
+        if at < 0 or line.startswith("!"):
+            continue
+        x = json.loads(line[at:])
+        if "offset" in x and "length" in x:
+            yield x.get("filename"), int(x["offset"]), int(x["length"])
+
+
 def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archive paths -> (path, offset, length) of every indexed record; a record
-    member without an index gives one range over the whole member."""
+    member that no index line names gives one range over the whole member."""
     for b in batches:
         for path in b.column(0).to_pylist():
             f, read = _opened(path)
             with f:
-                members = {m.name: m for m in read_directory(read, f.size())}
-                lines: list[dict] = []
-                for name, m in members.items():
-                    if name.startswith("indexes/") and name.endswith(".cdxj"):
-                        lines += [json.loads(x) for x in read(data_offset(read, m), m.size).splitlines() if x]
-                for name, m in members.items():
-                    if name.startswith("archive/"):
-                        base = data_offset(read, m)
-                        spans = [(base + x["offset"], x["length"]) for x in lines] if lines else [(base, m.size)]
-                        yield pa.record_batch({"path": pa.array([path] * len(spans), pa.string()),
-                                               "offset": pa.array([s[0] for s in spans], pa.int64()),
-                                               "length": pa.array([s[1] for s in spans], pa.int64())})
+                members = read_directory(read, f.size())
+                records = {m.name.rsplit("/", 1)[-1]: m for m in members if m.name.startswith("archive/") and not m.name.endswith("/")}
+                only = next(iter(records)) if len(records) == 1 else None
+                spans: dict[str, list[tuple[int, int]]] = {n: [] for n in records}
+                for m in members:
+                    if m.name.startswith("indexes/") and m.name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")):
+                        for name, offset, length in index_lines(_whole(read, m)):
+                            name = only if name is None else name.rsplit("/", 1)[-1]
+                            if name in spans:
+                                spans[name].append((offset, length))
+                for name, m in records.items():
+                    base = data_offset(read, m)
+                    found = [(base + o, n) for o, n in sorted(set(spans[name]))] or [(base, m.size)]
+                    yield pa.record_batch({"path": pa.array([path] * len(found), pa.string()),
+                                           "offset": pa.array([x[0] for x in found], pa.int64()),
+                                           "length": pa.array([x[1] for x in found], pa.int64())})
 
 
 def _members_of(read, offset: int, length: int, step: int = 1 << 20) -> Iterator[bytes]:
@@ -278,22 +316,30 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     f = read = opened = None
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    for b in batches:
-        out: list[Record] = []
-        size = 0
-        for path, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if path != opened:
-                if f is not None:
-                    f.close()
-                (f, read), opened = _opened(path), path
-            for raw in _members_of(read, offset, length):
-                out.append(decode_record(raw))
-                size += len(raw)
-                if size > 8 << 20:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out, size = [], 0
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def batch(out: list[Record]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    try:
+        for b in batches:
+            out: list[Record] = []
+            size = 0
+            for path, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != opened:
+                    if f is not None:
+                        f.close()
+                    (f, read), opened = _opened(path), path
+                for raw in _members_of(read, offset, length):
+                    out.append(decode_record(raw))
+                    size += len(raw)
+                    if size > 8 << 20:
+                        yield batch(out)
+                        out, size = [], 0
+            if out:
+                yield batch(out)
+    finally:
+        if f is not None:
+            f.close()
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:

@@ -101,6 +101,40 @@ def test_member_without_an_index_is_streamed(tmp_path):
     assert got == list(range(20))
 
 
+def test_a_package_of_another_writer(tmp_path):
+    """Two record members, real CDXJ lines packed by gzip, a deflated second index, other record types, a member without lines."""
+    import gzip
+    import json
+
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n"
+    foreign = (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: http://x/\r\nContent-Length: 31\r\n\r\n"
+               b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello\n\r\n\r\n")
+    files, lines = {}, {}
+    for name, raws in (("a.warc.gz", [info, warc.encode_record(1, "u", b"one", None), warc.encode_record(2, "u", b"two", None)]),
+                       ("b.warc.gz", [warc.encode_record(3, "v", b"three" * 500, None), foreign]), ("c.warc.gz", [warc.encode_record(9, "w", b"", None)])):
+        files[name], lines[name] = b"", []
+        for raw in raws:
+            packed = gzip.compress(raw)
+            lines[name].append("com,example)/p 20240102030405 " + json.dumps({"url": "u", "mime": "text/html", "status": "200", "length": str(len(packed)),
+                                                                              "offset": str(len(files[name])), "filename": name}) + "\n")
+            files[name] += packed
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, data in files.items():
+            z.writestr(f"archive/{name}", data)
+        z.writestr("indexes/index.cdx.gz", gzip.compress(('!meta 0 {"format": "cdxj"}\n' + "".join(lines["b.warc.gz"][::-1])).encode()))
+        z.writestr(zipfile.ZipInfo("indexes/more.cdxj"), "".join(lines["a.warc.gz"][1:]), zipfile.ZIP_DEFLATED)
+    spans = list(warc.locate(iter([pa.record_batch({"path": [str(path)]})])))
+    assert [s.num_rows for s in spans] == [2, 2, 1]
+    got = [r for b in warc.fetch(iter(spans)) for r in b.to_pylist()]
+    assert [(r["page_id"], r["record_type"], r["payload"]) for r in got] == [
+        (1, "response", b"one"), (2, "response", b"two"), (3, "response", b"three" * 500), (None, "response", b"hello\n"), (9, "response", b"")]
+    assert got[3]["payload_digest"] == warc.payload_digest(b"hello\n") and warc.decode_record(info).record_type == "warcinfo"
+    with pytest.raises(ValueError, match="digest"):
+        warc.decode_record(warc.encode_record(1, "u", b"x", None).replace(b"\r\n\r\nx", b"\r\n\r\ny"))
+
+
 def test_damaged_records_are_refused():
     raw = warc.encode_record(1, "u", b"payload", None)
     for bad in (raw[:-8], raw.replace(b"payload", b"pay1oad"), b"no record"):
