@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_a_query_for_each_operator():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
