@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import truncate
+from .arg_extreme import extreme_row
 from .joins import bounded_broadcast
 from .ranking import global_index
 
@@ -92,11 +93,11 @@ def triage(status: Column, attempt: Column, retry_after: Column | None = None,
 def latest_state(ledger: DataFrame, unit: str = "unit_id", order: str = "batch_id") -> DataFrame:
     """Current state per unit from an append-only ledger (U4): the last entry wins.
 
-    ``max_by`` aggregates map-side, so a unit logged many times costs one row per task.
+    A ledger is a stored table, so the last entry is found by a hash aggregate and
+    joined back (``arg_extreme``); an entry without ``order`` counts only if alone.
     """
-    last = F.max_by(F.struct("state", "reason"), F.col(order))
-    return (ledger.groupBy(unit).agg(last.alias("_s"), F.max(order).alias(order))
-                  .select(unit, "_s.state", "_s.reason", order))
+    return extreme_row(ledger, unit, [order], ["state", "reason", order], last=True, reread=True).select(
+        unit, "state", "reason", order)
 
 
 def exclusions(triaged: DataFrame, unit: str, reason_col: str = "reason",
@@ -119,15 +120,15 @@ def tag_partial(rows: DataFrame, ledger_state: DataFrame, unit: str,
     return rows.join(bounded_broadcast(st), on=unit, how="left")
 
 
-def first_seen(df: DataFrame, key: str, order_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+def first_seen(df: DataFrame, key: str, order_cols: list[str], keep: list[str] | None = None,
+               reread: bool = False) -> DataFrame:
     """One row per key: the first by ``order_cols`` (A8, first write wins).
 
-    ``min_by`` over a struct is a partial aggregate, so no window has to gather
-    all rows of a hot key into one task.
+    A partial aggregate, so no window has to gather all rows of a hot key into one
+    task; a hash aggregate where the order packs (``arg_extreme``), for wide kept
+    columns if ``reread`` says that the input may be read twice.
     """
-    keep = [c for c in (keep or df.columns) if c != key]
-    best = F.min_by(F.struct(*[F.col(c) for c in keep]), F.struct(*[F.col(c) for c in order_cols]))
-    return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in keep])
+    return extreme_row(df, key, order_cols, keep or df.columns, reread=reread)
 
 
 def page_completeness(pages: DataFrame, unit: str, page: str, rows: str, total: str) -> DataFrame:

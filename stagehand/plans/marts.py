@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import rate
+from ..operators.arg_extreme import extreme_row
 from ..operators.joins import bounded_broadcast
 from ..operators.ranking import exact_percentiles
 from ..operators.sampling import wilson_interval
@@ -208,10 +209,10 @@ def one_hot_wide(weighted: DataFrame, key: str, feature: str, values: Sequence[s
 
 # --- D9 latest per name ---------------------------------------------------------------------
 
-def latest_per_key(df: DataFrame, key: str, order_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Keep the latest row per key (D9): ``max_by`` over a struct, partial aggregate."""
-    best = F.max_by(F.struct(*[F.col(c) for c in keep]), F.struct(*[F.col(c) for c in order_cols]))
-    return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in keep])
+def latest_per_key(df: DataFrame, key: str, order_cols: Sequence[str], keep: Sequence[str], reread: bool = False) -> DataFrame:
+    """Keep the latest row per key (D9), by a hash aggregate where the order packs
+    (``arg_extreme``; ``reread``: the input may be read twice for wide columns)."""
+    return extreme_row(df, key, order_cols, keep, last=True, reread=reread).select(key, *keep)
 
 
 # --- D13 coverage ---------------------------------------------------------------------------

@@ -31,6 +31,14 @@ def test_key_checks_aggregate_map_side(spark):
     assert qa.orphan_rows(df, dim, "k").first()[0] == sum(1 for i in range(30000) if i % 3 and i >= 100)
 
 
+def test_packed_orders_aggregate_by_hash(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("unit_id"), F.lit("done").alias("state"),
+                                    F.lit(None).cast("string").alias("reason"), F.col("id").alias("batch_id"))
+    for out in (ing.first_seen(_hot(spark), "k", ["v"]), marts.latest_per_key(_hot(spark), "k", ["v"], ["v"]), ing.latest_state(rows)):
+        plan = plan_text(out)
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_no_window_over_hot_key(spark):
     for out in (ing.first_seen(_hot(spark), "k", ["v"]), qa.duplicate_keys(_hot(spark), "k")):
         assert "Window" not in plan_text(out)
