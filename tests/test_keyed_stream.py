@@ -1,0 +1,62 @@
+"""First-seen rows by a keyed state: restarts, expiry, hot keys."""
+import datetime as dt
+import pickle
+import time
+
+from pyspark.sql import functions as F
+
+from stagehand.streaming import ingest, keyed
+
+SCHEMA = "uid long, ts timestamp, v string"
+
+
+def _at(s):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+
+def _dirs(tmp_dir):
+    return [f"{tmp_dir}/{p}" for p in ("land", "sink", "ledger", "ckpt")]
+
+
+def test_first_write_wins_across_restarts(spark, tmp_dir):
+    land, sink, ledger, ckpt = _dirs(tmp_dir)
+    big = 2**62 + 1   # a float would not hold it
+    waves = [[(1, _at(5), "a"), (1, _at(3), "b"), (big, None, "n"), (big, _at(1), "m"), (None, _at(4), "z")],
+             [(1, _at(1), "later"), (3, _at(2), "c"), (big, None, "q"), (None, _at(0), "y")],
+             [(3, _at(0), "d"), (4, _at(9), "e")]]
+    run = lambda: keyed.run_keyed_first_seen_stream(spark, land, SCHEMA, sink, ledger, ckpt, "uid", ["ts"], ["ts", "v"])
+    sizes = []
+    for wave in waves:
+        ingest.land(spark.createDataFrame(wave, SCHEMA), land, files=3)
+        sizes += run()
+    assert run() == []   # nothing new
+    assert sizes == [3, 4, 5]   # one entry per key
+    rows = spark.read.parquet(sink)
+    assert {r.uid: (r.ts, r.v) for r in rows.collect()} == {
+        1: (_at(3), "b"), big: (None, "n"), None: (_at(4), "z"), 3: (_at(2), "c"), 4: (_at(9), "e")}
+    assert rows.count() == 5   # known keys added nothing
+    assert spark.read.parquet(ledger).count() == 5
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_entries_expire_and_readers_keep_the_first(spark, tmp_dir):
+    land, sink, ledger, ckpt = _dirs(tmp_dir)
+    run = lambda: keyed.run_keyed_first_seen_stream(
+        spark, land, SCHEMA, sink, ledger, ckpt, "uid", ["ts"], ["ts", "v"], horizon_ms=1000)
+    ingest.land(spark.range(50).select(F.col("id").alias("uid"), F.lit(_at(1)).alias("ts"), F.lit("old").alias("v")), land)
+    first = run()
+    time.sleep(1.5)
+    ingest.land(spark.createDataFrame([(7, _at(0), "new"), (99, _at(2), "x")], SCHEMA), land)
+    second = run()
+    assert first == [50] and second[-1] <= 2   # the state holds the active keys only
+    got = {r.uid: r.v for r in keyed.read_keyed_first_seen(spark, sink, "uid", ["v"]).collect()}
+    assert len(got) == 51 and got[7] == "old" and got[99] == "x"
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    import pyarrow as pa
+    n = 3000
+    batch = pa.record_batch({"k": pa.array([None if i % 3 == 0 else i for i in range(n)]), "ts": pa.array([n - i for i in range(n)])})
+    out = pa.Table.from_batches(keyed._first_of_batch("k", ["ts"])(iter([batch, batch.slice(0, 0)])))
+    assert out.num_rows == 2001
+    assert [pickle.loads(r["row"]) for r in out.to_pylist() if r["k"] == "None"] == [([3], {"k": None, "ts": 3})]
