@@ -13,11 +13,14 @@ really gives it. The place of a turn's text inside its span is found by
 rendering the same prefix with two probes of one letter in its stead: they
 differ in that place alone.
 
-Rows are dealt by conversation and sorted by turn; a task streams them and holds
-one conversation's context: all turns up to ``context`` turns, beyond it the
-leading system turn and the last ``context`` / 2 to ``context`` turns from a user
-turn on, so a conversation of any length takes bounded memory and linear time.
-The formatted turns are read back in the same stream, which holds one turn.
+Rows are dealt by conversation and sorted by turn; a task streams them. A template
+may look back at any turn, so every prefix is rendered whole: memory for one
+conversation, time that grows with the square of its turns. A template that says
+how far it looks back (``lookback``, an attribute: what a turn adds to the output
+depends on the opening, a leading system turn and that many turns before it) is
+given no more than that once ``context`` turns are held: the same spans, in bounded
+memory and linear time. The formatted turns are read back in the same stream, which
+holds one turn.
 
 Defined results: null text and role are ''; a null conv_id is one conversation
 with a null id; turns are sorted by turn (null first), role and text, so equal
@@ -60,6 +63,8 @@ class InstTemplate:
     _to_restore = re.compile(r"([<\[])\\(\\*)" + _control)
     _turn = re.compile(r"\[INST\] (.*?) \[/INST\]|\[SYS\] (.*?) \[/SYS\]|\[ROLE\] (.*?) \[/ROLE\] (.*?)</s>| (.*?)</s>", re.S)
     opening = "<s>"
+    #: A turn is written by itself, whatever came before.
+    lookback = 0
     #: One of these ends every turn.
     _marks = ("[/INST]", "[/SYS]", "</s>")
 
@@ -146,7 +151,12 @@ def _place(render: Render, before: list[Turn], turn: Turn, out: str) -> tuple[in
 def format_turns(render: Render, turns: Iterable[Turn], loss_roles: frozenset[str] = frozenset({"assistant"}),
                  context: int = 256) -> Iterator[Span]:
     """The spans of a conversation's turns, in order. Raises ValueError if a
-    turn that bears loss has no place of its own in the template's output."""
+    turn that bears loss has no place of its own in the template's output.
+
+    A template without ``lookback`` sees all turns. One with it sees, from ``context``
+    turns on, a leading system turn and the turns from a user turn on (if there is
+    one) that leave the turn before this one the ``lookback`` turns it needs."""
+    lookback: int | None = getattr(render, "lookback", None)
     before: list[Turn] = []
     last = ""          # output of the prefix before this turn
     start = 0          # where the open turn's piece starts in ``last``
@@ -154,12 +164,12 @@ def format_turns(render: Render, turns: Iterable[Turn], loss_roles: frozenset[st
     open_: Span | None = None
     place: tuple[int, int] | None = None
     for k, turn in enumerate(turns):
-        if len(before) >= context:
+        if lookback is not None and len(before) >= max(context, 2 * lookback + 2):
             head = before[:1] if before[0][0] == "system" else []
-            rest = before[-(context // 2):]
-            cut = next((i for i, t in enumerate(rest) if t[0] == "user"), 0)
+            least = len(before) - lookback - 1  # the turn before and what it looks back at
+            cut = next((i for i in range(least, len(head), -1) if before[i][0] == "user"), least)
             closing = len(last)
-            before = head + rest[cut:]
+            before = head + before[cut:]
             shorter = render(before)
             start += len(shorter) - closing
             if place is not None:
