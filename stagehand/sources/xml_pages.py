@@ -69,11 +69,11 @@ COLLECTION_USER_ITEM_SCHEMA = (
     "status struct<" + ", ".join(f"_{k}:string" for k in STATUS_FLAG_KEYS) + ">"
 )
 
+# The fields the user_play and page rows read.
 PLAYS_PAGE_SCHEMA = (
-    "_username string, _userid string, _total string, _page string, "
+    "_username string, _total string, _page string, "
     "play array<struct<_id:string,_date:string,_quantity:string,_length:string,"
-    "_incomplete:string,_nowinstats:string,_location:string,"
-    "item:struct<_name:string,_objecttype:string,_objectid:string>>>"
+    "_incomplete:string,_location:string,item:struct<_objectid:string>>>"
 )
 
 # What page completeness reads: page attributes and how many plays a page holds.
