@@ -55,11 +55,13 @@ COLLECTION_ITEM_SCHEMA = (
     "status struct<" + ", ".join(f"_{k}:string" for k in STATUS_FLAG_KEYS) + ">"
 )
 
-# The fields the item_info rows read (no status flags, comment, plays or own rating).
+# The fields the item_info rows read (no status flags, comment, plays or own rating; of a
+# name its text, of a rank its friendlyname and value): a quarter of the parse is the rest.
 COLLECTION_ITEM_INFO_SCHEMA = (
-    "_objectid string, _subtype string, name struct<_VALUE:string,_sortindex:string>, yearpublished string, "
+    "_objectid string, _subtype string, name struct<_VALUE:string>, yearpublished string, "
     "stats struct<" + ", ".join(f"_{a}:string" for a in _STAT_ATTRS)
-    + f", rating:struct<average:{_V}, bayesaverage:{_V}, stddev:{_V}, ranks:struct<rank:array<{_RANK}>>>>"
+    + f", rating:struct<average:{_V}, bayesaverage:{_V}, stddev:{_V}, "
+    "ranks:struct<rank:array<struct<_friendlyname:string,_value:string>>>>>"
 )
 
 # The fields the user_item rows read: parsing only these is about a third cheaper.
