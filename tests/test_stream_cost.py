@@ -1,0 +1,30 @@
+"""Page streams list files by few tasks and hold flat rows of collections."""
+from pyspark.sql import functions as F
+
+from stagehand.sources import xml_pages
+from stagehand.streaming import landing
+
+
+def test_listing_many_folders_takes_few_tasks(spark, tmp_dir):
+    units = 4 * spark.sparkContext.defaultParallelism + 50
+    spark.range(units).select(F.col("id").alias("unit"), F.lit("<items/>").alias("value")).coalesce(1).write.partitionBy("unit").text(f"{tmp_dir}/land")
+    key, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    sc.setJobGroup("listing", "listing")
+    try:
+        assert landing.new_versions(spark, f"{tmp_dir}/land", f"{tmp_dir}/state").select("path").distinct().count() == units
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism and spark.conf.get(key) == before
+
+
+def test_flat_responses_keep_every_response_and_subtype(spark):
+    bodies = [("a", '<items><item objectid="1" subtype="boardgame"><numplays>2</numplays></item><item objectid="2" subtype="other"/></items>'),
+              ("b", "<items></items>"), ("c", '<items><item objectid="3" subtype="boardgame">'), ("d", None)]
+    parsed = xml_pages.parse_responses(spark.createDataFrame(bodies, "_unit string, value string"), "value", "items",
+                                       xml_pages.items_schema(xml_pages.COLLECTION_ITEM_SCHEMA))
+    rows = xml_pages.flat_collection_responses(parsed, ["_unit", "body_ok"])
+    got = sorted(tuple(r) for r in rows.select("_unit", "body_ok", F.coalesce("_subtype", F.lit("-")), "objectid", "numplays").collect())
+    assert got == [("a", True, "boardgame", "1", "2"), ("a", True, "other", "2", "0"), ("b", True, "-", "", "0"), ("c", False, "-", "", "0"), ("d", False, "-", "", "0")]
