@@ -44,6 +44,10 @@ THING_SCHEMA = (
 # Narrow thing schemas: the fields one output reads (Spark does not prune them itself).
 THING_LINK_SCHEMA = "_id string, link array<struct<_type:string,_id:string,_value:string>>"
 THING_RANK_SCHEMA = f"_id string, statistics struct<ratings:struct<ranks:struct<rank:array<{_RANK}>>>>"
+THING_DETAILS_LINK_SCHEMA = (
+    f"_id string, name array<struct<_value:string>>, description string, yearpublished {_V}, minage {_V}, "
+    f"link array<struct<_type:string,_id:string,_value:string>>, statistics struct<ratings:struct<averageweight:{_V}>>"
+)
 
 _STAT_ATTRS = ["minplayers", "maxplayers", "minplaytime", "maxplaytime", "playingtime", "numowned"]
 COLLECTION_ITEM_SCHEMA = (
@@ -57,11 +61,19 @@ COLLECTION_ITEM_SCHEMA = (
 
 # The fields the item_info rows read (no status flags, comment, plays or own rating; of a
 # name its text, of a rank its friendlyname and value): a quarter of the parse is the rest.
+_INFO_RANKS = "ranks:struct<rank:array<struct<_friendlyname:string,_value:string>>>"
 COLLECTION_ITEM_INFO_SCHEMA = (
     "_objectid string, _subtype string, name struct<_VALUE:string>, yearpublished string, "
     "stats struct<" + ", ".join(f"_{a}:string" for a in _STAT_ATTRS)
-    + f", rating:struct<average:{_V}, bayesaverage:{_V}, stddev:{_V}, "
-    "ranks:struct<rank:array<struct<_friendlyname:string,_value:string>>>>>"
+    + f", rating:struct<average:{_V}, bayesaverage:{_V}, stddev:{_V}, {_INFO_RANKS}>>"
+)
+
+# The fields that item_info and user_item rows read together.
+COLLECTION_ROW_SCHEMA = (
+    "_objectid string, _subtype string, name struct<_VALUE:string>, yearpublished string, numplays string, comment string, "
+    "stats struct<" + ", ".join(f"_{a}:string" for a in _STAT_ATTRS)
+    + f", rating:struct<_value:string, average:{_V}, bayesaverage:{_V}, stddev:{_V}, {_INFO_RANKS}>>, "
+    "status struct<" + ", ".join(f"_{k}:string" for k in STATUS_FLAG_KEYS) + ">"
 )
 
 # The fields the user_item rows read: parsing only these is about a third cheaper.
@@ -369,11 +381,25 @@ def parse_collection_items(items: DataFrame, user_id_col: str, item_col: str = "
     return split_collection_rows(flatten_collection_items(items, user_id_col, item_col, subtype), keep_unit)
 
 
+def _of_other_subtype(xml: Column, subtype: str) -> Column:
+    """Whether the item's start tag says plainly that it is of another subtype. Only a tag
+    that can be read in one way counts (lower-case names, double quotes, no references,
+    one ``subtype``): any other item is left to the parse. However the text goes on, the
+    parse of such an item gives that other subtype, or none if it is malformed."""
+    attr = r'\s++(?!subtype=)[a-z]++="[^"<&]*+"'
+    return xml.rlike(rf'\A<item(?:{attr})*+\s++subtype="(?!\Q{subtype}\E")[a-z]++"(?:{attr})*+\s*+/?>')
+
+
 def collection_items_from_strings(df: DataFrame, xml_col: str, keep: list[str],
-                                  schema: str = COLLECTION_ITEM_SCHEMA) -> DataFrame:
+                                  schema: str = COLLECTION_ITEM_SCHEMA, subtype: str | None = None) -> DataFrame:
     """One ``<item>`` per row → struct column ``item``; pass
-    ``COLLECTION_USER_ITEM_SCHEMA`` when only user_item rows are wanted."""
-    return df.select(*keep, F.from_xml(F.col(xml_col), schema, XML_OPTIONS).alias("item"))
+    ``COLLECTION_USER_ITEM_SCHEMA`` when only user_item rows are wanted. With ``subtype``,
+    of which the row functions keep only items (P6), an item that is plainly of another
+    one is NULL and not parsed: they drop it either way."""
+    xml = F.col(xml_col)
+    if subtype is not None:
+        xml = F.when(~_of_other_subtype(xml, subtype), xml)
+    return df.select(*keep, F.from_xml(xml, schema, XML_OPTIONS).alias("item"))
 
 
 # --- S12 plays pages ---------------------------------------------------------------------

@@ -28,3 +28,15 @@ def test_raw_layer_lands_the_columns_of_the_tables_asked_for(spark, monkeypatch)
 
 def test_item_info_schema_has_no_field_that_its_rows_do_not_read():
     assert "_sortindex" not in xml_pages.COLLECTION_ITEM_INFO_SCHEMA and "_bayesaverage" not in xml_pages.COLLECTION_ITEM_INFO_SCHEMA
+
+
+def test_checklist_parses_no_item_and_no_field_that_its_tables_do_not_hold(spark, monkeypatch):
+    landed = {}
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: landed.setdefault(name, df))
+    items = catalog._collection_items(spark, SF_SMALL)
+    kept = catalog.table(spark, SF_SMALL, "lineitem").where("l_returnflag <> 'R'").count()
+    assert items.where("item IS NOT NULL").count() == kept
+    raw = catalog._raw_layer(spark, SF_SMALL, ("item_details", "item_link"))
+    assert "usersrated" not in landed["pages-things"].schema.simpleString() and tuple(raw) == ("item_details", "item_link")
+    raw = catalog._raw_layer(spark, SF_SMALL, ("item_info", "user_item"))
+    assert "_sortindex" not in plan_text(landed["pages-collection"])
